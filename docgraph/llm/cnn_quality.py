@@ -167,3 +167,15 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, folds
 
     got = docs_only(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
     return got.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, all columns as they came; no shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1 << 20):
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(scores(model, texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -49,3 +49,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = r.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     out = r.join(groups.withColumnRenamed("recipe", "of"), F.col("recipe") == F.col("of"))
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they came."""
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept"))
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")

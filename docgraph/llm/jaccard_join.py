@@ -322,3 +322,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = point.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("name", "key").alias("name"))
     least = rows.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("name", "of")
     return rows.join(least, F.col("name") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest id, all columns as they came."""
+    found = near_components(docs, id_col, text_col)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
