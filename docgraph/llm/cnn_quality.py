@@ -97,10 +97,10 @@ def span(text: bytes, rng: np.random.Generator) -> bytes:
     return text[start : start + size].lstrip(b" \n")
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.02, seed: int = 5) -> Model:
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, steps: int = 400, rate: float = 0.02, seed: int = 5) -> Model:
     """Adam on the balanced logistic loss; only a maximum's own window gets its gradient.
 
-    A third of the texts of each round are replaced by a short span from anywhere in them, so that short texts are known.
+    At least ``epochs`` rounds and ``steps`` steps. A third of the texts of each round are replaced by a short span from anywhere in them, so that short texts are known.
     """
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, np.float64)
@@ -110,6 +110,8 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 6
         model.constant = float(share)
         return model
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+    batch = int(np.clip(len(texts) // 16, 8, 64))
+    epochs = max(epochs, -(-steps * batch // len(texts)))
     params = [model.table, model.bias, model.out, np.zeros(1)]
     moments = [(np.zeros(p.shape), np.zeros(p.shape)) for p in params]
     step = 0
