@@ -208,7 +208,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if not len(s) or (key := set_key(s)) in told:
                     continue
                 told.add(key)
-                is_late = np.isin(s, late, assume_unique=True)
+                is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
                 first = np.concatenate([s[~is_late], s[is_late]])[: reach(len(s))]
                 for part, v in zip(parts, (first, np.full(len(first), key), np.full(len(first), len(s)), np.arange(len(first))), strict=True):
                     part.append(v)
