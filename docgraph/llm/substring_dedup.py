@@ -14,7 +14,7 @@ statistics of the streamed segments: one window's interval is shortened by a sym
 by one on the left to give the next. The first suffix of an interval is the window's first place.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; rows that
-repeat an id are one document read twice, so neither is earlier than the other; a null id comes first; an
+repeat an id have equal places, so neither is earlier than the other at an equal start; a null id comes first; an
 empty table gives no rows; other columns are not read. Texts of any length are read whole.
 """
 
@@ -73,6 +73,10 @@ def ids_of(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def text_key(text: bytes) -> int:
+    return int(np.frombuffer(xxhash.xxh3_64_digest(text), ">i8")[0])
+
+
 def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
     n = len(h) - window + 1
     g = h[:n]
@@ -288,41 +292,42 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, ho
     found = d.mapInArrow(seeds, PACKED).groupBy("bucket").applyInArrow(repeats, PACKED)
     found = found.groupBy("bucket").applyInArrow(per_document, "owner long, wanted binary, hot binary")
 
-    work_schema = "doc_id long, n_words long, kept_sha256 string, words binary, route binary, start binary, windows binary"
+    work_schema = "doc_id long, n_words long, kept_sha256 string, words binary, route binary, start binary, windows binary, text_key long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 8 << 20):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for text, wanted, hots in zip(encoded(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = text.split()
-                row = [len(words), None, None, None, None, None]
+                row = [len(words), None, None, None, None, None, None]
                 if wanted is not None:
                     route, start, count = pieces(word_hashes(words), np.frombuffer(wanted, np.uint64), np.frombuffer(hots, np.uint64), window, seed)
                     if len(route):
-                        row[2:] = [b" ".join(words), route.tobytes(), start.astype("i8").tobytes(), count.astype("i8").tobytes()]
+                        joined = b" ".join(words)
+                        row[2:] = [joined, route.tobytes(), start.astype("i8").tobytes(), count.astype("i8").tobytes(), text_key(joined)]
                 if row[2] is None:
                     row[1] = hashlib.sha256(b" ".join(words)).hexdigest()
                     row[2] = b" ".join(words) if spans else None
                 for column, v in zip(out, row, strict=True):
                     column.append(v)
-            types = [pa.int64(), pa.string(), *[pa.binary()] * 4]
+            types = [pa.int64(), pa.string(), *[pa.binary()] * 4, pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], [f.split()[0] for f in work_schema.split(", ")])
 
     owned = d.join(found, F.coalesce(d["doc_id"], F.lit(NULL_ID)) == found["owner"], "left").select("doc_id", "text", "wanted", "hot")
     work = written(owned.mapInArrow(cut, work_schema), "windows")
     cutted = work.where(F.col("route").isNotNull())
 
-    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, int, int, int]]:
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, int, int, int, int]]:
         for doc_id, text, route, start, count in zip(ids_of(batch), *(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
-            words = text.split(b" ")
+            words, key = text.split(b" "), text_key(text)
             for r, s, c in zip(np.frombuffer(route, np.uint64).tolist(), np.frombuffer(start, "i8").tolist(), np.frombuffer(count, "i8").tolist(), strict=True):
-                yield int(doc_id), b" ".join(words[s : s + c + window - 1]), r, s, c
+                yield int(doc_id), b" ".join(words[s : s + c + window - 1]), r, s, c, key
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets: dict[int, dict[bytes, list]] = {}
         held = 0
         for batch in small_batches(batches, 4 << 20):
-            for doc_id, text, r, s, _ in parts(batch):
+            for doc_id, text, r, s, _, _ in parts(batch):
                 mine = buckets.setdefault(r % n, {})
                 have = mine.get(text)
                 if have is None:
@@ -363,14 +368,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, ho
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 4 << 20):
-            got = [(xxhash.xxh3_128_digest(text), doc_id, s, c) for doc_id, text, _, s, c in parts(batch)]
-            columns = list(zip(*got, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["of", "owner", "start", "windows"])
+            got = [(xxhash.xxh3_128_digest(text), doc_id, s, c, key) for doc_id, text, _, s, c, key in parts(batch)]
+            columns = list(zip(*got, strict=True)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["of", "owner", "start", "windows", "owner_text"])
 
     # A copy loses all its windows; the first place of a segment loses those that start earlier elsewhere.
-    seen = texts.mapInArrow(occurrences, "of binary, owner long, start long, windows long").join(verdicts, F.col("of") == F.col("key"))
+    seen = texts.mapInArrow(occurrences, "of binary, owner long, start long, windows long, owner_text long").join(verdicts, F.col("of") == F.col("key"))
     own = (F.col("owner") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
-    gone = seen.select("owner", F.struct("start", "windows", F.when(own, F.col("mask")).alias("mask")).alias("g")).groupBy("owner").agg(F.collect_list("g").alias("gone"))
+    gone = seen.select("owner", "owner_text", F.struct("start", "windows", F.when(own, F.col("mask")).alias("mask")).alias("g")).groupBy("owner", "owner_text").agg(F.collect_list("g").alias("gone"))
     final_schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept binary, removed_spans array<long>" if spans else "")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,6 +401,6 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, ho
             names = [f.split()[0] for f in final_schema.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), n_words, *arrays[: len(names) - 2]], names)
 
-    touched = cutted.select("doc_id", "words").join(gone, F.coalesce(cutted["doc_id"], F.lit(NULL_ID)) == gone["owner"], "left").select("doc_id", "words", "gone")
+    touched = cutted.select("doc_id", "words", "text_key").join(gone, (F.coalesce(cutted["doc_id"], F.lit(NULL_ID)) == gone["owner"]) & (F.col("text_key") == F.col("owner_text")), "left").select("doc_id", "words", "gone")
     rest = work.where(F.col("route").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", *([F.col("words").alias("kept"), F.array().cast("array<long>").alias("removed_spans")] if spans else []))
     return touched.mapInArrow(remove, final_schema).unionByName(rest)

@@ -35,7 +35,7 @@ def corpus(rng, n=60):
             at = rng.randint(0, len(w))
             w[at:at] = passage[rng.randint(0, 10) : rng.randint(30, 55)]
         rows.append((i, rng.choice([" ", "\n", " \t "]).join(w)))
-    rows += [(n, rows[5][1]), (n + 1, rows[5][1]), (n + 2, "a " * 70), (n + 3, None), (n + 4, ""), (n + 5, "x y " * 40), (None, rows[7][1]), (n + 6, " ".join(f"u{i}" for i in range(30)))]
+    rows += [(n, rows[5][1]), (n + 1, rows[5][1]), (n + 2, "a " * 70), (n + 3, None), (n + 4, ""), (n + 5, "x y " * 40), (None, rows[7][1]), (n + 6, " ".join(f"u{i}" for i in range(30))), (5, rows[5][1]), (3, rows[9][1] + " other text " + rows[4][1])]
     return rows
 
 
