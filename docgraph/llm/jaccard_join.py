@@ -4,12 +4,11 @@ Distance is one less the Jaccard similarity, a metric; documents link within ``e
 
 1. Identical sets are one point (64-bit set hashes name the points).
 2. First pivots are single shingles: a set is at distance below 1 from the pivots it holds. Under one global
-   order (common shingles last, then by hash) two linked sets share one of their first n - ceil(3n/4) + 1
-   shingles, so a point is replicated to these pivots' regions and no other. Regions of up to ``PAIRS`` points
-   propose their pairs, larger ones a star; sizes and ranks discard pairs that cannot link.
-3. Second pivots are hash classes of shingles: the counts of a set in them differ, in sum, by no more than
-   the symmetric difference of two sets, which a link bounds by (n + m) / 7. Pairs beyond the bound go.
-4. What is left falls into blocks (connected candidates), none linked with another. In a block, documents
+   order (common shingles last, then by hash), two linked sets of n and m shingles share at least
+   need = 1 + min(n, m) // 16 of their first n - ceil(3n/4) + need shingles each, so a point is replicated to
+   these pivots' regions and no other. Regions of up to ``PAIRS`` points propose their pairs, larger ones a
+   star; pairs whose sizes or ranks rule a link out, or that meet in too few regions, go.
+3. What is left falls into blocks (connected candidates), none linked with another. In a block, documents
    become pivots: distances to them make Voronoi regions, a point is replicated to another region if the
    triangle inequality allows a link (its distance there is within 2 eps of its own), and regions are
    joined recursively; small ones compare what is not connected yet. Every link found is verified exactly.
@@ -38,7 +37,6 @@ from .common import PACKED, docs_only, encoded, mix64, n_buckets, pack, small_ba
 SHINGLE = 5
 #: A shingle is common from this many sets on; at most so many are listed. Regions up to PAIRS points propose pairs.
 COMMON, LISTED, PAIRS = 64, 65_536, 256
-CLASSES = 64
 LEAF = 32
 
 
@@ -65,9 +63,14 @@ def linked(both, n, m):
     return 7 * both >= 3 * (n + m)
 
 
+def need(n):
+    """Shingles that a set must share with a linked one among the first ``reach`` of both."""
+    return 1 + n // 16
+
+
 def reach(n):
-    """Ranks that two linked sets must share one of."""
-    return n - (3 * n + 3) // 4 + 1
+    """With c = ceil(3n/4) shared at least, the need-th shared one has c - need shared ones after it."""
+    return n - (3 * n + 3) // 4 + need(n)
 
 
 class Sets:
@@ -187,14 +190,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     late = np.array([r[0] for r in listed.orderBy(F.desc("count"), "value").limit(LISTED).collect()], np.int64).view(np.uint64)
     late.sort()  # at most LISTED numbers
 
-    point_schema = "doc_id long, n_shingles long, key long, classes binary"
+    point_schema = "doc_id long, n_shingles long, key long"
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             sets = [shingle_set(t) for t in encoded(batch)]
             keys = [set_key(s) if len(s) else None for s in sets]
-            classes = [np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype("u4").tobytes() if len(s) else None for s in sets]
-            arrays = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(classes, pa.binary())]
+            arrays = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in point_schema.split(", ")])
 
     point = written(d.mapInArrow(points, point_schema), "points")
@@ -216,92 +218,73 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 value, key, size, rank = map(np.concatenate, parts)
                 yield pack((value % np.uint64(n)).astype(np.int32), [(value >> np.uint64(32)).astype("u4"), key.astype("i8"), size.astype("u4"), rank.astype("u4")], n)
 
-    pair_schema = "bucket int, blob binary"
+    def met(a: np.ndarray, b: np.ndarray, least: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
+        """Each pair once, with the times it met; a pair of a star (times 0) needs no more."""
+        order = np.lexsort([b, a])
+        a, b, least, times = a[order], b[order], least[order], times[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return [a[first], b[first], np.minimum.reduceat(least, first), np.add.reduceat(times, first)]
 
     def propose(table: pa.Table) -> pa.Table:
         value, key, size, rank = unpack(table["blob"].to_pylist(), ["u4", "i8", "u4", "u4"])
         order = np.lexsort([key, value])
         value, key, size, rank = value[order], key[order], size[order].astype(np.int64), rank[order].astype(np.int64)
-        new = np.concatenate([[True], (value[1:] != value[:-1]) | (key[1:] != key[:-1])]) if len(value) else np.empty(0, bool)
+        new = np.concatenate([[True], (value[1:] != value[:-1]) | (key[1:] != key[:-1])])
         value, key, size, rank = value[new], key[new], size[new], rank[new]
-        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.empty(0, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
         count = np.diff(np.append(first, len(value)))
-        a, b, sure = [], [], []
+        found: list[list[np.ndarray]] = [[], [], [], []]
+
+        def add(a, b, least, times) -> None:
+            for column, v in zip(found, met(a, b, least.astype("i4"), times.astype("i4")), strict=True):
+                column.append(v)
+
         for c in np.unique(count[count > 1]):  # all regions of one size at once
             at = first[count == c]
             if c <= PAIRS:
                 i, j = np.triu_indices(c, 1)
-                for k in range(0, len(at), max(1, 2_000_000 // len(i))):
-                    base = at[k : k + max(1, 2_000_000 // len(i)), None]
+                step = max(1, 500_000 // len(i))
+                for k in range(0, len(at), step):
+                    base = at[k : k + step, None]
                     x, y = (base + i).ravel(), (base + j).ravel()
-                    most = 1 + np.minimum(size[x] - rank[x], size[y] - rank[y]) - 1
+                    # No more can be shared than lies before this place and from it on, in either set.
+                    most = np.minimum(size[x] - rank[x], size[y] - rank[y]) + np.minimum(rank[x], rank[y])
                     ok = (4 * np.minimum(size[x], size[y]) >= 3 * np.maximum(size[x], size[y])) & linked(most, size[x], size[y])
-                    a.append(key[x[ok]])
-                    b.append(key[y[ok]])
-                    sure.append(np.zeros(int(ok.sum()), np.uint8))
+                    if ok.any():
+                        x, y = x[ok], y[ok]
+                        add(key[x], key[y], need(np.minimum(size[x], size[y])), np.ones(len(x)))
             else:
                 for f in at:
-                    a.append(np.full(c - 1, key[f]))
-                    b.append(key[f + 1 : f + c])
-                    sure.append(np.ones(c - 1, np.uint8))
-        if not a:
+                    add(np.full(c - 1, key[f]), key[f + 1 : f + c], np.zeros(c - 1), np.zeros(c - 1))
+        if not found[0]:
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary())], ["bucket", "blob"])
-        a, b, sure = np.concatenate(a), np.concatenate(b), np.concatenate(sure)
-        order = np.lexsort([1 - sure, b, a])
-        a, b, sure = a[order], b[order], sure[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        a, b, sure = a[new], b[new], sure[new]
-        return pa.Table.from_batches([pack((a % n).astype(np.int32), [a, b, sure], n)])
-
-    def with_classes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        key = table["key"].to_numpy()
-        order = np.argsort(key, kind="stable")
-        rows = np.frombuffer(b"".join(table["classes"].to_pylist()), "u4").reshape(-1, CLASSES) if len(key) else np.empty((0, CLASSES), "u4")
-        return key[order], rows[order]
-
-    def sketch_left(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        a, b, sure = unpack(pairs["blob"].to_pylist(), ["i8", "i8", "u1"])
-        key, rows = with_classes(sets)
-        order = np.lexsort([1 - sure, b, a])
-        a, b, sure = a[order], b[order], sure[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, bool)
-        a, b, sure = a[new], b[new], sure[new]
-        mine = np.minimum(rows[np.searchsorted(key, a)], 65535).astype("u2")
-        wide = mine.view(f"V{2 * CLASSES}").ravel() if len(a) else np.empty(0, f"V{2 * CLASSES}")
-        return pa.Table.from_batches([pack((b % n).astype(np.int32), [a, b, sure, wide], n)])
-
-    edge_schema = "a long, b long"
-
-    def sketch_right(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        a, b, sure, wide = unpack(pairs["blob"].to_pylist(), ["i8", "i8", "u1", f"V{2 * CLASSES}"])
-        key, rows = with_classes(sets)
-        keep = np.zeros(len(a), bool)
-        for i in range(0, len(a), 65536):
-            left = wide[i : i + 65536].view("u2").reshape(-1, CLASSES).astype(np.int64)
-            right = rows[np.searchsorted(key, b[i : i + 65536])].astype(np.int64)
-            # Counts above 65,535 are clipped on one side only: such a set's pairs always stay.
-            total = left.sum(1) + right.sum(1)
-            keep[i : i + 65536] = (7 * np.abs(left - right).sum(1) <= total) | (left.max(1, initial=0) == 65535)
-        keep |= sure.astype(bool)
+        columns = met(*map(np.concatenate, found))
+        return pa.Table.from_batches([pack((columns[0] % n).astype(np.int32), columns, n)])
+
+    def enough(table: pa.Table) -> pa.Table:
+        blobs = table["blob"].to_pylist()
+        a, b, least, times = met(*unpack(blobs, ["i8", "i8", "i4", "i4"])) if blobs else [np.empty(0, np.int64)] * 4
+        keep = times >= least
         return pa.table([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    pairs = d.mapInArrow(first_regions, PACKED).groupBy("bucket").applyInArrow(propose, pair_schema)
-    one = point.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("classes").alias("classes"))
-    one = written(one, "sets")
-    by_bucket = one.select("key", "classes", F.pmod("key", F.lit(n)).cast("int").alias("bucket")).groupBy("bucket")
-    half = pairs.groupBy("bucket").cogroup(by_bucket).applyInArrow(sketch_left, pair_schema)
-    edges = half.groupBy("bucket").cogroup(by_bucket).applyInArrow(sketch_right, edge_schema)
+    pairs = d.mapInArrow(first_regions, PACKED).groupBy("bucket").applyInArrow(propose, PACKED)
+    edges = pairs.groupBy("bucket").applyInArrow(enough, "a long, b long")
+    one = written(point.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id")), "sets")
     blocks = components(written(edges, "candidates"))
 
     member_schema = "bucket int, block long, key long, shingles binary"
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            sets = pa.array([shingle_set(t).tobytes() for t in encoded(batch)], pa.binary())
+            sets = [shingle_set(t) for t in encoded(batch)]
             bucket = pa.array((batch.column(0).to_numpy() % n).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([bucket, batch.column(0), batch.column(1), sets], [f.split()[0] for f in member_schema.split(", ")])
+            rows = pa.RecordBatch.from_arrays([bucket, batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], [f.split()[0] for f in member_schema.split(", ")])
+            # An id may stand on several rows: only the text that has the name's set speaks for it.
+            yield rows.filter(pa.array([len(s) > 0 and set_key(s) == k for s, k in zip(sets, batch.column(1).to_pylist(), strict=True)]))
 
     def join_blocks(table: pa.Table) -> pa.Table:
+        _, one = np.unique(table["key"].to_numpy(), return_index=True)
+        table = table.take(pa.array(one))
         block, key = table["block"].to_numpy(), table["key"].to_numpy()
         order = np.lexsort([key, block])
         blobs = table["shingles"]
