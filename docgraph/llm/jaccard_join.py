@@ -223,7 +223,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         order = np.lexsort([b, a])
         a, b, least, times = a[order], b[order], least[order], times[order]
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        return [a[first], b[first], np.minimum.reduceat(least, first), np.add.reduceat(times, first)]
+        return [a[first], b[first], np.minimum.reduceat(least, first), np.add.reduceat(times, first, dtype=times.dtype)]
 
     def propose(table: pa.Table) -> pa.Table:
         value, key, size, rank = unpack(table["blob"].to_pylist(), ["u4", "i8", "u4", "u4"])
