@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from .bpe import byte_symbols
 from .common import docs_only, n_buckets, small_batches
 
-CACHE = 500_000
+#: Words of one generation of a worker's cache.
+CACHE = 400_000
 SCHEMA = "doc_id long, n_tokens long, start_in_file long, tokens array<int>"
 #: Row groups of 16 MB keep a writer's buffer and a selective read small; format v2 falls back from dictionary to delta encoding.
 PARQUET = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.page.size": 256 << 10, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20}
@@ -45,31 +47,39 @@ class WordEncoder:
         self.full.no_truncation()
         self.full.no_padding()
         self.symbol = {b: c for c, b in byte_symbols().items()}
+        self.code = "H" if self.full.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.type = np.uint16 if self.full.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        # Two generations: words that come again move to the younger, and only the older is dropped.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
-        if PLAIN(word) and "<|" not in word:
-            tokenize = self.full.model.tokenize
-            ids = [t.id for p in PIECES.findall(word.lower()) for t in tokenize(p.encode().decode("latin-1").translate(self.symbol))]
-        else:
-            ids = self.full.encode(word, add_special_tokens=False).ids
-        got = np.array(ids, self.type).tobytes()
+        got = self.older.get(word)
+        if got is None:
+            if PLAIN(word) and "<|" not in word:
+                tokenize, pieces = self.full.model.tokenize, PIECES.findall(word.lower())
+                if not word.isascii():
+                    pieces = [p if p.isascii() else p.encode().decode("latin-1").translate(self.symbol) for p in pieces]
+                ids = [t.id for p in pieces for t in tokenize(p)]
+            else:
+                ids = self.full.encode(word, add_special_tokens=False).ids
+            got = array(self.code, ids).tobytes()
         if len(word) <= 48:
             if len(self.known) >= CACHE:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[word] = got
         return got
 
     def encode(self, text: bytes) -> np.ndarray:
-        words = [w.decode("utf-8", "replace") for w in text.split()] if not text.isascii() else text.decode().translate(CONTROLS).split(" ")
+        words = text.translate(BLANKS).decode("utf-8", "replace").split(" ")
         got = list(map(self.known.get, words))
         if None in got:
-            got = [g if g is not None else self.word(w) if w else b"" for g, w in zip(got, words, strict=True)]
+            word = self.word
+            got = [g if g is not None else word(w) if w else b"" for g, w in zip(got, words, strict=True)]
         return np.frombuffer(b"".join(got), self.type)
 
 
-CONTROLS = {c: " " for c in range(0x09, 0x0E)}
+BLANKS = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 
 
 @lru_cache(maxsize=2)
