@@ -50,6 +50,8 @@ class Engine:
 
     def load(self, units: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(documents, chunks) of read sources; raises for a file that cannot be read or holds nothing usable."""
+        if units.isEmpty():  # Spark reads no rows from files without bytes
+            raise SourceError("No usable text extracted: nothing to read")
         failed = units.where(F.col("error").isNotNull()).select("source_uri", "error").limit(5).collect()
         if failed:
             raise SourceError("; ".join(f"{r['source_uri']}: {r['error']}" for r in failed))

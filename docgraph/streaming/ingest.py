@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import chunking
 from ..service import Engine
 from ..sources.readers import parsed
 
@@ -16,15 +17,17 @@ SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def watch(engine: Engine, folder: str, checkpoint: str, available_now: bool = False, files_per_batch: int = 1000) -> StreamingQuery:
-    """Ingest files as they appear; unreadable files are skipped and kept in ``<root>/_rejected``."""
+    """Ingest files as they appear; files that cannot be read or hold no usable text are listed in ``<root>/_rejected``."""
     stream = engine.spark.readStream.format("binaryFile").schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(folder)
     files = stream.select(F.left(F.sha1(F.col("path").cast("binary")), F.lit(24)).alias("doc_id"), F.col("path").alias("source_uri"), "content")
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         units = parsed(batch)
-        rejected = units.where(F.col("error").isNotNull())
-        rejected.select("source_uri", "error").write.mode("overwrite").parquet(f"{engine.store.root}/_rejected/batch={batch_id}")
-        good = units.where(F.col("error").isNull())
+        read = units.where(F.col("error").isNull())
+        good = read.join(chunking.chunk_documents(read, engine.config).select("doc_id"), "doc_id", "left_semi").select(units.columns)
+        bare = read.join(good.select("doc_id"), "doc_id", "left_anti").select("source_uri", F.lit("No usable text").alias("error"))
+        rejected = units.where(F.col("error").isNotNull()).select("source_uri", "error").unionByName(bare)
+        rejected.write.mode("overwrite").parquet(f"{engine.store.root}/_rejected/batch={batch_id}")
         if not good.isEmpty():
             engine.ingest(good)
 

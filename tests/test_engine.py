@@ -82,6 +82,8 @@ def test_bad_chunks_are_isolated_and_counted(spark, tmp_path):
 def test_unusable_sources_fail(engine):
     with pytest.raises(SourceError, match="No usable text"):
         engine.ingest(read_uploads(engine.spark, [("a.txt", b"short")]))
+    with pytest.raises(SourceError, match="nothing to read"):
+        engine.ingest(read_uploads(engine.spark, [("a.txt", TEXT.encode())]).limit(0))
     with pytest.raises(SourceError, match="pypdf|PDF|Pdf|EOF|Stream"):
         engine.ingest(read_uploads(engine.spark, [("a.pdf", b"none")]))
     assert engine.dry_run(read_uploads(engine.spark, [("a.txt", TEXT.encode())]))["chunks"] == 1
@@ -136,9 +138,13 @@ def test_streamed_files_are_ingested_once(spark, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}/store", CONFIG)
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text(TEXT)
+    (tmp_path / "in" / "tiny.txt").write_text("tiny")
+    (tmp_path / "in" / "bad.jsonl").write_text("{")
     for _ in range(2):
         q = watch(engine, f"file://{tmp_path}/in", f"file://{tmp_path}/ck", available_now=True)
         q.awaitTermination()
     (tmp_path / "in" / "b.json").write_text('{"fact": "Bob joined TechCorp", "kind": "hire"}')
     watch(engine, f"file://{tmp_path}/in", f"file://{tmp_path}/ck", available_now=True).awaitTermination()
     assert engine.stats()["documents"] == 2
+    rejected = spark.read.parquet(f"file://{tmp_path}/store/_rejected")
+    assert sorted(r["source_uri"].rsplit("/", 1)[1] for r in rejected.collect()) == ["bad.jsonl", "tiny.txt"]

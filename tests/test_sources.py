@@ -30,7 +30,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "t.csv").write_text("x,y\n1,2\n")
     (tmp_path / "bad.jsonl").write_text("{")
     (tmp_path / "p.pdf").write_bytes(b"%PDF")
-    (tmp_path / "n.bin").write_bytes(b"")
+    (tmp_path / "n.bin").write_bytes(b"x")
+    (tmp_path / "empty.txt").write_bytes(b"")  # files without bytes give no row
     rows = {r["source_uri"].rsplit("/", 1)[1]: r for r in read_files(spark, str(tmp_path)).collect()}
     assert rows["a b+c.txt"]["text"] == "caf�\nnext" and rows["a b+c.txt"]["kind"] == "prose"
     assert rows["t.csv"]["records"] == ["x: 1\ny: 2"]
