@@ -1,16 +1,19 @@
 """LM scoring with Brown-style class bigrams.
 
-Counts of all training words, and of the neighbours of the ``top`` most frequent ones, are gathered in packed
-shuffles (arrays by hash bucket). Exchange clustering on the driver moves each of the ``top`` words to the
-class that raises the mutual information of neighbouring classes most, until none moves; its input is bounded by
-``top`` squared. All other words, known or not, form one class, and the boundary of texts another. A token's
-probability is mixed from P(class | class before) * P(word | class), add-half smoothed, and the unigram base:
+Every training word has a class. Texts are hashed once, into blocks of token places in the block's own vocabulary.
+The ``top`` most frequent words seed the classes: exchange clustering on the driver, whose input is bounded by ``top``
+squared, moves each to the class that raises the mutual information of neighbouring classes most, until none moves.
+Every other training word, whatever its count, then joins the class that raises it most, in parallel by hash bucket,
+from its neighbours' classes (neighbours that are no seeds count as one class there, and the words of a bucket do not see
+each other move). Class transitions are counted anew over the classes of all words. A token's probability is mixed
+from P(class | class before) * P(word | class), transitions add-half smoothed, and the unigram base:
 
     share * P(class | before) * P(word | class) + (1 - share) * (c + 0.5) / (N + 0.5 * (V + 1))
 
-which sums to one over all known words, the end and one unknown word. Counts of the most frequent words of
-each bucket travel to the scoring tasks (``listed`` in all); those of the others are looked up in their
-buckets, so no table that grows with the corpus is ever broadcast.
+which sums to one over all known words, the end and one unknown word. The unknown word and the boundary of texts are
+classes of their own; what follows an unknown word is as frequent as anywhere. Counts and classes of the most
+frequent words of each bucket travel to the tasks (``listed`` in all); each block looks those of its other words up
+in their buckets, so no table that grows with the corpus is ever broadcast.
 
 Words are known by 64-bit hashes. Defined results: null and empty texts are the end alone; a null id counts
 as training; identical rows (id and text) score alike; without training rows N = V = 0 and every token has
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +102,53 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
     return label[:k]
 
 
+def squeezed(ids: np.ndarray) -> bytes:
+    """Places in a block's vocabulary, byte by byte; frequent words come first there, so that high bytes are mostly 0."""
+    return pa.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def restored(blob: bytes, size: int) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(blob, 4 * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
+
+
+def framed(x: np.ndarray, lengths: np.ndarray, edge: int) -> np.ndarray:
+    """The texts of a block one after another, with an edge before, between and after them."""
+    out = np.full(len(x) + len(lengths) + 1, edge, np.int64)
+    out[np.arange(len(x)) + np.repeat(np.arange(1, len(lengths) + 1), lengths)] = x
+    return out
+
+
+def best_classes(word: np.ndarray, code: np.ndarray, count: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, class of each) by the gain of mutual information, from counts of the neighbours' classes.
+
+    Rows ascend by word and code; codes are the classes after a word, then those before it. The last two classes of
+    ``grid`` take no words.
+    """
+    c = len(grid) - 2
+    cells = np.concatenate([grid[:c].T, grid[:, :c]])  # by code: the cells that the classes would add it to
+    row, col, own = grid.sum(1)[:c], grid.sum(0)[:c], np.diag(grid)[:c]
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
+    ends, label = np.append(first[1:], len(word)), np.empty(len(first), np.int64)
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(ends, first[at] + 32_768)))
+        a, b = first[at], ends[to - 1]
+        old, n = cells[code[a:b]], count[a:b, None]
+        gain = np.add.reduceat(xlogx(old + n) - xlogx(old), first[at:to] - a)
+        near = np.zeros((to - at, len(cells)))
+        near[np.repeat(np.arange(to - at), ends[at:to] - first[at:to]), code[a:b]] = count[a:b]
+        r, le = near[:, :c], near[:, c + 2 : 2 * c + 2]
+        i, j = np.nonzero((r > 0) & (le > 0))  # both sides add to one cell
+        g, x, y = own[j], r[i, j], le[i, j]
+        gain[i, j] += xlogx(g + x + y) - xlogx(g + x) - xlogx(g + y) + xlogx(g)
+        t = near[:, : c + 2].sum(1)[:, None]
+        gain -= xlogx(row + t) - xlogx(row) + xlogx(col + t) - xlogx(col)
+        label[at:to] = gain.argmax(1)
+        at = to
+    return word[first], label
+
+
 def score_documents(
     docs: DataFrame, folds: int = 5, held: int = 1, top: int = TOP, classes: int = CLASSES, listed: int = LISTED, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -106,53 +156,74 @@ def score_documents(
     n = n_buckets(docs.sparkSession)
     is_held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
     d = docs_only(docs, id_col, text_col).withColumn("held_out", is_held)
-    training = d.where(~F.col("held_out")).select("doc_id", "text")
+
+    def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for i, batch in enumerate(small_batches(batches)):
+            hashes = [tokens(t) for t in encoded(batch)]
+            lengths = np.array([len(h) for h in hashes], np.int64)
+            training = ~np.array(batch.column(2).to_pylist(), bool)
+            vocab, ids, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            vocab, ids = vocab[order], np.argsort(order)[ids]
+            seen = np.bincount(ids[np.repeat(training, lengths)], minlength=len(vocab))
+            blobs = [lengths.tobytes(), training.tobytes(), vocab.tobytes(), seen.astype("u4").tobytes(), squeezed(ids)]
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + i]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), *[pa.array([b], pa.binary()) for b in blobs]], ["block", "doc_ids", "lengths", "training", "vocab", "seen", "ids"])
+
+    blocks = written(d.mapInArrow(make_blocks, "block long, doc_ids array<long>, lengths binary, training binary, vocab binary, seen binary, ids binary"), "blocks")
+
+    def arrays(row: dict) -> tuple[np.ndarray, ...]:
+        """(lengths, training, vocab, ids) of a block."""
+        lengths, training, vocab = (np.frombuffer(row[x], t) for x, t in (("lengths", "i8"), ("training", "?"), ("vocab", "u8")))
+        return lengths, training, vocab, restored(row["ids"], int(lengths.sum()))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield batch.slice(i, 1).to_pylist()[0]
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 16 << 20):
-            value, count = np.unique(np.concatenate([tokens(t) for t in encoded(batch)]), return_counts=True)
+        for row in rows_of(batches):
+            value, count = np.frombuffer(row["vocab"], "u8"), np.frombuffer(row["seen"], "u4")
+            value, count = value[count > 0], count[count > 0]
             yield pack((value % np.uint64(n)).astype(np.int32), [value, count.astype("i8")], n)
 
     def sum_words(table: pa.Table) -> pa.Table:
         value, count = merged(*unpack(table["blob"].to_pylist(), ["u8", "i8"]))
         return pa.table([table["bucket"][:1], pa.array([len(value)], pa.int64()), pa.array([int(count.sum())], pa.int64()), pa.array([value.tobytes() + count.tobytes()], pa.binary())], ["bucket", "types", "total", "blob"])
 
-    counts = written(training.mapInArrow(count_words, PACKED).groupBy("bucket").applyInArrow(sum_words, "bucket int, types long, total long, blob binary"), "counts")
+    counts = written(blocks.select("vocab", "seen").mapInArrow(count_words, PACKED).groupBy("bucket").applyInArrow(sum_words, "bucket int, types long, total long, blob binary"), "counts")
     sums = counts.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
-    ends = training.count()
+    ends = d.where(~F.col("held_out")).count()
     types, total = sums["v"] + (ends > 0), sums["n"] + ends
 
-    def most_frequent(each: int):
+    def most_frequent(words: DataFrame, each: int, dtypes: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for blob in batch.column(0).to_pylist():
-                    value, count = unpack([blob], ["u8", "i8"])
+                    value, count, *more = unpack([blob], dtypes)
                     best = np.lexsort([value, -count])[:each]
-                    yield pa.RecordBatch.from_arrays([pa.array(value[best].view(np.int64)), pa.array(count[best])], ["value", "count"])
+                    cls = more[0][best].astype(np.int64) if more else np.zeros(len(best), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(value[best].view(np.int64)), pa.array(count[best]), pa.array(cls)], ["value", "count", "class"])
 
-        return counts.select("blob").mapInArrow(run, "value long, count long")
+        return words.select("blob").mapInArrow(run, "value long, count long, class long")
 
-    def sorted_pair(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def by_value(df: DataFrame) -> list[np.ndarray]:
         got = df.toArrow()  # ``top`` or ``listed`` rows at most
-        value, count = got["value"].to_numpy().view(np.uint64), got["count"].to_numpy()
+        value = got["value"].to_numpy().view(np.uint64)
         order = np.argsort(value)
-        return value[order], count[order]
+        return [value[order], got["count"].to_numpy()[order], got["class"].to_numpy()[order]]
 
-    top_value, top_count = sorted_pair(most_frequent(top).orderBy(F.desc("count"), "value").limit(top))
+    top_value = by_value(most_frequent(counts, top, ["u8", "i8"]).orderBy(F.desc("count"), "value").limit(top))[0]
     k = len(top_value)
-    other, edge = k, k + 1
 
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = np.zeros((k + 2) ** 2, np.int64)
-        for batch in small_batches(batches, 8 << 20):
-            for text in encoded(batch):
-                at, found = looked_up(top_value, tokens(text))
-                ids = np.concatenate([[edge], np.where(found, at, other), [edge]])
-                code = ids[:-1] * (k + 2) + ids[1:]
-                if len(code) > 4096:
-                    grid += np.bincount(code, minlength=len(grid))
-                else:
-                    np.add.at(grid, code, 1)
+        for row in rows_of(batches):
+            lengths, training, vocab, ids = arrays(row)
+            at, found = looked_up(top_value, vocab)
+            f = framed(np.where(found, at, k)[ids[np.repeat(training, lengths)]], lengths[training], k + 1)
+            grid += np.bincount(f[:-1] * (k + 2) + f[1:], minlength=len(grid))
         code = np.flatnonzero(grid)
         yield pack((code % n).astype(np.int32), [code.astype("i8"), grid[code]], n)
 
@@ -160,100 +231,121 @@ def score_documents(
         code, count = merged(*unpack(table["blob"].to_pylist(), ["i8", "i8"]))
         return pa.table([pa.array(code), pa.array(count)], ["code", "count"])
 
-    pairs = training.mapInArrow(count_bigrams, PACKED).groupBy("bucket").applyInArrow(sum_bigrams, "code long, count long").toArrow()  # (top + 2) squared at most
-    bigrams = np.zeros((k + 2) ** 2, np.int64)
-    bigrams[pairs["code"].to_numpy()] = pairs["count"].to_numpy()
-    bigrams = bigrams.reshape(k + 2, k + 2)
-    label = exchange(bigrams, classes)
-    c = int(label.max()) + 1 if k else 0  # classes of words; then the others, then the edge
-    of = np.concatenate([label, [c, c + 1]]).astype(np.int64)
-    hot = np.eye(c + 2, dtype=np.int64)[of]
-    grid = (hot.T @ bigrams @ hot).astype(np.float64)
-    follow = (grid + ALPHA) / (grid.sum(1, keepdims=True) + ALPHA * (c + 2))
-    in_class = np.bincount(label, top_count, c) if k else np.empty(0)
-    emit = top_count / in_class[label] if k else np.empty(0)
-    base_total = total + 0.5 * (types + 1)
-    other_total = (sums["n"] - top_count.sum()) + 0.5 * (sums["v"] - k + 1)
-    list_value, list_count = sorted_pair(most_frequent(max(1, listed // n)))
-
-    def probabilities(before: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 base and model probability of words of the class of the others."""
-        base = (count + 0.5) / base_total
-        return np.log10(base), np.log10(share * follow[before, c] * (count + 0.5) / other_total + (1 - share) * base)
-
-    def uid(doc_id: int | None, text: bytes) -> int:
-        return xxhash.xxh3_64_intdigest(text, seed=xxhash.xxh3_64_intdigest(str(doc_id)))
-
-    def parts(text: bytes):
-        """(words, classes before each token, place and known of top words, place and known of listed words)."""
-        h = tokens(text)
-        at, is_top = looked_up(top_value, h)
-        cls = np.where(is_top, label[at] if k else 0, c).astype(np.int64)
-        return h, np.concatenate([[c + 1], cls]), at, is_top, *looked_up(list_value, h)
-
-    local_schema = "doc_id long, held_out boolean, uid long, n_tokens long, n_known long, base_score double, score double"
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            out: list[list] = [[] for _ in range(5)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), encoded(batch), strict=True):
-                h, before, at, is_top, place, is_listed = parts(text)
-                base = model = 0.0
-                if is_top.any():
-                    t, p = at[is_top], before[:-1][is_top]
-                    b = (top_count[t] + 0.5) / base_total
-                    base += float(np.log10(b).sum())
-                    model += float(np.log10(share * follow[p, label[t]] * emit[t] + (1 - share) * b).sum())
-                near = is_listed & ~is_top
-                b, m = probabilities(before[:-1][near], list_count[place[near]] if len(list_count) else np.empty(0))
-                end = (ends + 0.5) / base_total
-                base += float(b.sum()) + float(np.log10(end))
-                model += float(m.sum()) + float(np.log10(share * follow[before[-1], c + 1] + (1 - share) * end))
-                known = int((is_top | is_listed).sum()) + (ends > 0)
-                for column, v in zip(out, (uid(doc_id, text), len(h) + 1, known, base, model), strict=True):
-                    column.append(v)
-            arrays = [batch.column(0), batch.column(2), pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3]), pa.array(out[4])]
-            yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in local_schema.split(", ")])
+    def summed(packed: DataFrame, size: int) -> np.ndarray:
+        cells = packed.groupBy("bucket").applyInArrow(sum_bigrams, "code long, count long").toArrow()  # size squared at most
+        grid = np.zeros(size**2, np.int64)
+        grid[cells["code"].to_numpy()] = cells["count"].to_numpy()
+        return grid.reshape(size, size)
+
+    bigrams = summed(blocks.select("lengths", "training", "vocab", "ids").mapInArrow(count_bigrams, PACKED), k + 2)
+    label = np.unique(exchange(bigrams, classes), return_inverse=True)[1].astype(np.int64)
+    c = int(label.max()) + 1 if k else 0  # classes of words; then the unknown word (before: words without class), then the edge
+    hot = np.eye(c + 2, dtype=np.int64)[np.concatenate([label, [c, c + 1]])]
+    seeds = (hot.T @ bigrams @ hot).astype(np.float64)
+    width = 2 * (c + 2)
+
+    def count_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            lengths, training, vocab, ids = arrays(row)
+            at, found = looked_up(top_value, vocab)
+            cls = np.where(found, label[at] if k else 0, c)
+            mine, lengths = ids[np.repeat(training, lengths)], lengths[training]
+            f, w = framed(cls[mine], lengths, c + 1), framed(np.where(found, -1, np.arange(len(vocab)))[mine], lengths, -1)
+            after, before = w[:-1] >= 0, w[1:] >= 0
+            code, count = np.unique(np.concatenate([w[:-1][after] * width + f[1:][after], w[1:][before] * width + c + 2 + f[:-1][before]]), return_counts=True)
+            word, per = np.unique(code // width, return_counts=True)
+            bucket = (vocab[word] % np.uint64(n)).astype(np.int32)
+            words = pack(bucket, [vocab[word], per.astype("u4")], n)
+            yield pa.RecordBatch.from_arrays([*words.columns, pack(np.repeat(bucket, per), [(code % width).astype("u4"), count.astype("u4")], n).column(1)], ["bucket", "blob", "near"])
+
+    word_types = ["u8", "i8", "u4"]
+
+    def assign(near: pa.Table, table: pa.Table) -> pa.Table:
+        value, count = unpack(table["blob"].to_pylist(), ["u8", "i8"])
+        at, found = looked_up(top_value, value)
+        cls = np.where(found, label[at] if k else 0, c)
+        who, per = unpack(near["blob"].to_pylist(), ["u8", "u4"])
+        code, times = unpack(near["near"].to_pylist(), ["u4", "u4"])
+        key, times = merged(np.repeat(looked_up(value, who)[0], per) * width + code, times.astype(np.int64))
+        word, best = best_classes(key // width, key % width, times, seeds)
+        cls[word] = best
+        in_class = np.zeros(c + 1, np.int64)
+        np.add.at(in_class, cls, count)
+        blob = value.tobytes() + count.tobytes() + cls.astype("u4").tobytes()
+        return pa.table([table["bucket"][:1], pa.array([in_class.tolist()], pa.list_(pa.int64())), pa.array([blob], pa.binary())], ["bucket", "in_class", "blob"])
+
+    near = blocks.select("lengths", "training", "vocab", "ids").mapInArrow(count_neighbours, "bucket int, blob binary, near binary")
+    words = written(near.groupBy("bucket").cogroup(counts.select("bucket", "blob").groupBy("bucket")).applyInArrow(assign, "bucket int, in_class array<long>, blob binary"), "words")
+    in_class = np.zeros(c + 1, np.int64)
+    for part in words.select("in_class").toArrow()["in_class"].to_pylist():  # one row a bucket
+        in_class += np.array(part)
+    list_value, list_count, list_class = by_value(most_frequent(words, max(1, listed // n), word_types))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 8 << 20):
-            asked: list[list[np.ndarray]] = [[], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), encoded(batch), strict=True):
-                h, before, _, is_top, _, is_listed = parts(text)
-                far = ~(is_top | is_listed)
-                if far.any():
-                    order = np.lexsort([before[:-1][far], h[far]])
-                    v, p = h[far][order], before[:-1][far][order]
-                    first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (p[1:] != p[:-1])]))
-                    for a, x in zip(asked, (v[first], np.full(len(first), uid(doc_id, text), np.uint64), p[first].astype("u2"), np.diff(np.append(first, len(v))).astype("u4")), strict=True):
-                        a.append(x)
-            if asked[0]:
-                columns = [np.concatenate(a) for a in asked]
-                yield pack((columns[0] % np.uint64(n)).astype(np.int32), columns, n)
+        for row in rows_of(batches):
+            vocab = np.frombuffer(row["vocab"], "u8")
+            far = vocab[~looked_up(list_value, vocab)[1]]
+            asked = pack((far % np.uint64(n)).astype(np.int32), [far], n)
+            yield pa.RecordBatch.from_arrays([*asked.columns, pa.array([row["block"]] * asked.num_rows, pa.int64())], ["bucket", "blob", "block"])
 
     def reply(questions: pa.Table, table: pa.Table) -> pa.Table:
-        value, who, before, times = unpack(questions["blob"].to_pylist(), ["u8", "u8", "u2", "u4"])
-        order = np.lexsort([before, value, who])
-        value, who, before, times = value[order], who[order], before[order].astype(np.int64), times[order].astype(np.int64)
-        if len(who):  # identical rows asked alike
-            new = np.concatenate([[True], (value[1:] != value[:-1]) | (who[1:] != who[:-1]) | (before[1:] != before[:-1])])
-            value, who, before, times = value[new], who[new], before[new], times[new]
-        words, count = unpack(table["blob"].to_pylist(), ["u8", "i8"])
-        at, found = looked_up(words, value)
-        have = np.where(found, count[at] if len(count) else 0, 0)
-        b, m = probabilities(before, have)
-        who, known, b, m = merged(who, times * found, times * b, times * m)
-        return pa.Table.from_batches([pack((who % np.uint64(n)).astype(np.int32), [who, known.astype("i8"), b.astype("f8"), m.astype("f8")], n)])
-
-    def gather(table: pa.Table) -> pa.Table:
-        who, known, b, m = unpack(table["blob"].to_pylist(), ["u8", "i8", "f8", "f8"])
-        order = np.lexsort([m, b, known, who])
-        who, known, b, m = merged(who[order], known[order], b[order], m[order])
-        return pa.table([pa.array(who.view(np.int64)), pa.array(known), pa.array(b), pa.array(m)], ["who", "known", "base", "model"])
-
-    far = d.mapInArrow(ask, PACKED).groupBy("bucket").cogroup(counts.select("bucket", "blob").groupBy("bucket")).applyInArrow(reply, PACKED)
-    far = far.groupBy("bucket").applyInArrow(gather, "who long, known long, base double, model double")
-    rows = d.mapInArrow(local, local_schema)
-    plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-    out = rows.join(far, F.col("uid") == F.col("who"), "left")
-    return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "known"), F.lit(total).cast("long").alias("train_tokens"), plus("base_score", "base"), plus("score", "model"))
+        value, count, cls = unpack(table["blob"].to_pylist(), word_types)
+        answers = []
+        for blob in questions["blob"].to_pylist():
+            at, found = looked_up(value, np.frombuffer(blob, "u8"))
+            have, of = (np.where(found, x[at], y) if len(value) else np.full(len(at), y) for x, y in ((count, 0), (cls, c)))
+            answers.append(have.astype("i8").tobytes() + of.astype("u4").tobytes())
+        return pa.table([questions["block"], questions["bucket"], pa.array(answers, pa.binary())], ["block", "bucket", "blob"])
+
+    resolved_schema = "doc_ids array<long>, lengths binary, training binary, counts binary, classes binary, ids binary, grid binary"
+
+    def resolve(block: pa.Table, answers: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        lengths, training, vocab, ids = arrays(row)
+        at, found = looked_up(list_value, vocab)
+        count, cls = (np.where(found, x[at], 0) if len(x) else np.zeros(len(vocab), np.int64) for x in (list_count, list_class))
+        far = np.flatnonzero(~found)
+        far = far[np.argsort(vocab[far] % np.uint64(n), kind="stable")]
+        count[far], cls[far] = unpack(answers.sort_by("bucket")["blob"].to_pylist(), ["i8", "u4"])
+        f = framed(cls[ids[np.repeat(training, lengths)]], lengths[training], c + 1)
+        grid = np.bincount(f[:-1] * (c + 2) + f[1:], minlength=(c + 2) ** 2)
+        blobs = [row["lengths"], row["training"], count.tobytes(), cls.astype("u4").tobytes(), row["ids"], grid.astype("i8").tobytes()]
+        return pa.table([pa.array([row["doc_ids"]], pa.list_(pa.int64())), *[pa.array([b], pa.binary()) for b in blobs]], [x.split()[0] for x in resolved_schema.split(", ")])
+
+    answers = blocks.select("block", "vocab").mapInArrow(ask, "bucket int, blob binary, block long").groupBy("bucket").cogroup(words.select("bucket", "blob").groupBy("bucket")).applyInArrow(reply, "block long, bucket int, blob binary")
+    kept = blocks.select("block", "doc_ids", "lengths", "training", "vocab", "ids")
+    resolved = written(kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(resolve, resolved_schema), "resolved")
+
+    def count_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = np.zeros((c + 2) ** 2, np.int64)
+        for row in rows_of(batches):
+            grid += np.frombuffer(row["grid"], "i8")
+        code = np.flatnonzero(grid)
+        yield pack((code % n).astype(np.int32), [code.astype("i8"), grid[code]], n)
+
+    grid = summed(resolved.select("grid").mapInArrow(count_classes, PACKED), c + 2).astype(np.float64)
+    grid[c] = grid.sum(0)  # after the unknown word, of which there are no counts
+    follow = (grid + ALPHA) / (grid.sum(1, keepdims=True) + ALPHA * (c + 2))
+    base_total = total + 0.5 * (types + 1)
+    end = (ends + 0.5) / base_total
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            lengths, training, count, cls = (np.frombuffer(row[x], t) for x, t in (("lengths", "i8"), ("training", "?"), ("counts", "i8"), ("classes", "u4")))
+            ids = restored(row["ids"], int(lengths.sum()))
+            base = (count + 0.5) / base_total
+            emit = np.where(cls < c, count / np.maximum(in_class[cls], 1), 1.0)
+            f = framed(cls[ids], lengths, c + 1)
+            last = np.cumsum(lengths + 1)
+            b, e = np.full(len(f) - 1, end), np.ones(len(f) - 1)  # of each token, the ends among them
+            is_word = np.ones(len(b), bool)
+            is_word[last - 1] = False
+            b[is_word], e[is_word] = base[ids], emit[ids]
+            model, known = np.log10(share * follow[f[:-1], f[1:]] * e + (1 - share) * b), np.full(len(b), int(ends > 0))
+            known[is_word] = (count > 0)[ids]
+            first, b = last - lengths - 1, np.log10(b)
+            columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(~training), pa.array(lengths + 1), pa.array(np.add.reduceat(known, first)), pa.array(np.full(len(lengths), total, np.int64)), pa.array(np.add.reduceat(b, first)), pa.array(np.add.reduceat(model, first))]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in scored.split(", ")])
+
+    scored = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return resolved.select("doc_ids", "lengths", "training", "counts", "classes", "ids").mapInArrow(score, scored)

@@ -66,3 +66,12 @@ def test_beats_the_base_on_held_out_text(spark):
     got = [r for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string"), classes=3).collect() if r["held_out"]]
     assert got and sum(r["score"] for r in got) > sum(r["base_score"] for r in got) + 5 * len(got)
     assert pytest.approx(31) == got[0]["n_tokens"]
+
+
+def test_words_beyond_the_seeds_have_classes(spark):
+    rng = random.Random(9)
+    groups = [[f"{g}{i}" for i in range(40)] for g in "xyz"]
+    rows = [(i, " ".join(rng.choice(groups[(j + i) % 3]) for j in range(30))) for i in range(400)]
+    got = [r for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string"), top=12, classes=3, listed=16).collect() if r["held_out"]]
+    # Known classes save log10(3) = 0.48 a word; 12 of the 120 words are seeds.
+    assert sum(r["score"] - r["base_score"] for r in got) > 0.3 * sum(r["n_tokens"] for r in got)
