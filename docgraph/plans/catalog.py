@@ -266,12 +266,21 @@ WITH n AS (SELECT 'Part' AS type, p_name AS name FROM part UNION SELECT 'Custome
   UNION SELECT 'Word', unnest(string_split(regexp_replace(text, '[^\\S ]', ' ', 'g'), ' ')) FROM documents)
 SELECT type, name, {id_sql("type", "name")} AS entity_id FROM n WHERE name <> '' AND NOT contains(name, 'ß')""")
 def entity_ids(spark, sf_dir):
+    return _identified_names(spark, sf_dir).where(~F.contains("name", F.lit("ß")))
+
+
+@query(ORACLE["entity_ids"].replace(" AND NOT contains(name, 'ß')", ""))
+def entity_ids_all_names(spark, sf_dir):
+    return _identified_names(spark, sf_dir)
+
+
+def _identified_names(spark, sf_dir) -> DataFrame:
     words = read(spark, sf_dir, "documents").select(F.lit("Word").alias("type"), F.explode(F.split(F.regexp_replace("text", r"[^\S ]", " "), " ")).alias("name"))
     named = [(t, f"{t[0].lower()}_name") for t in ("Part", "Customer", "Supplier")]
     all_ = words
     for t, c in named:
         all_ = all_.unionAll(read(spark, sf_dir, t.lower()).select(F.lit(t), c))
-    n = all_.where((F.col("name") != "") & ~F.contains("name", F.lit("ß"))).distinct()
+    n = all_.where(F.col("name") != "").distinct()
     return n.select("type", "name", normalize.entity_id(F.col("type"), F.col("name")).alias("entity_id"))
 
 

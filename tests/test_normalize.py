@@ -1,7 +1,10 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from docgraph.functions import normalize
+from docgraph.plans import catalog
 
 IDS = [
     ("Organization", "Acme Corp", "be5dad929cfb79cb8e6d1e6f"),
@@ -42,3 +45,11 @@ def test_sql_functions(spark):
     normalize.register(spark)
     row = spark.sql("SELECT normalize_predicate('worksAt') AS p, normalize_label('drug product') AS l, cosine_score(array(1f, 0f), array(1f, 0f)) AS c").first()
     assert tuple(row) == ("WORKS_AT", "DrugProduct", 1.0)
+
+
+def test_every_name_gets_an_id(spark, tmp_path):
+    for t, c, name in (("documents", "text", "Straße weiß\tx"), ("part", "p_name", "ßpart"), ("customer", "c_name", "c"), ("supplier", "s_name", "s")):
+        spark.createDataFrame([(name,)], f"{c} string").write.parquet(f"{tmp_path}/{t}.parquet")
+    got = {(r["type"], r["name"]): r["entity_id"] for r in catalog.entity_ids_all_names(spark, str(tmp_path)).collect()}
+    names = [("Word", "Straße"), ("Word", "weiß"), ("Word", "x"), ("Part", "ßpart"), ("Customer", "c"), ("Supplier", "s")]
+    assert got == {(t, n): hashlib.sha1(f"{t}|{normalize.py_name(n)}".encode()).hexdigest()[:24] for t, n in names}
