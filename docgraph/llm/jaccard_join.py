@@ -13,7 +13,8 @@ Distance is one less the Jaccard similarity, a metric; documents link within ``e
    triangle inequality allows a link (its distance there is within 2 eps of its own), and regions are
    joined recursively; small ones compare what is not connected yet. Every link found is verified exactly.
 
-Set hashes and shingle hashes are 64 bits wide; all else is exact. The list of common shingles is bounded and
+Set hashes and shingle hashes are 64 bits wide, regions are named by their bucket and a hash's upper 32 bits (two
+shingles of one set that agree in both count once, so a borderline pair could be missed); all else is exact. The list of common shingles is bounded and
 only orders shingles: any list gives the same result.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are their own
