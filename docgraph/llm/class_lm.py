@@ -153,7 +153,7 @@ def score_documents(
     docs: DataFrame, folds: int = 5, held: int = 1, top: int = TOP, classes: int = CLASSES, listed: int = LISTED, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for every row."""
-    n = n_buckets(docs.sparkSession)
+    n = n_buckets(docs)
     is_held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
     d = docs_only(docs, id_col, text_col).withColumn("held_out", is_held)
 
@@ -186,7 +186,7 @@ def score_documents(
         for row in rows_of(batches):
             value, count = np.frombuffer(row["vocab"], "u8"), np.frombuffer(row["seen"], "u4")
             value, count = value[count > 0], count[count > 0]
-            yield pack((value % np.uint64(n)).astype(np.int32), [value, count.astype("i8")], n)
+            yield pack((value % np.uint64(n)).astype(np.int32), [value, count.astype("i8")])
 
     def sum_words(table: pa.Table) -> pa.Table:
         value, count = merged(*unpack(table["blob"].to_pylist(), ["u8", "i8"]))
@@ -225,7 +225,7 @@ def score_documents(
             f = framed(np.where(found, at, k)[ids[np.repeat(training, lengths)]], lengths[training], k + 1)
             grid += np.bincount(f[:-1] * (k + 2) + f[1:], minlength=len(grid))
         code = np.flatnonzero(grid)
-        yield pack((code % n).astype(np.int32), [code.astype("i8"), grid[code]], n)
+        yield pack((code % n).astype(np.int32), [code.astype("i8"), grid[code]])
 
     def sum_bigrams(table: pa.Table) -> pa.Table:
         code, count = merged(*unpack(table["blob"].to_pylist(), ["i8", "i8"]))
@@ -255,8 +255,8 @@ def score_documents(
             code, count = np.unique(np.concatenate([w[:-1][after] * width + f[1:][after], w[1:][before] * width + c + 2 + f[:-1][before]]), return_counts=True)
             word, per = np.unique(code // width, return_counts=True)
             bucket = (vocab[word] % np.uint64(n)).astype(np.int32)
-            words = pack(bucket, [vocab[word], per.astype("u4")], n)
-            yield pa.RecordBatch.from_arrays([*words.columns, pack(np.repeat(bucket, per), [(code % width).astype("u4"), count.astype("u4")], n).column(1)], ["bucket", "blob", "near"])
+            words = pack(bucket, [vocab[word], per.astype("u4")])
+            yield pa.RecordBatch.from_arrays([*words.columns, pack(np.repeat(bucket, per), [(code % width).astype("u4"), count.astype("u4")]).column(1)], ["bucket", "blob", "near"])
 
     word_types = ["u8", "i8", "u4"]
 
@@ -277,15 +277,15 @@ def score_documents(
     near = blocks.select("lengths", "training", "vocab", "ids").mapInArrow(count_neighbours, "bucket int, blob binary, near binary")
     words = written(near.groupBy("bucket").cogroup(counts.select("bucket", "blob").groupBy("bucket")).applyInArrow(assign, "bucket int, in_class array<long>, blob binary"), "words")
     in_class = np.zeros(c + 1, np.int64)
-    for part in words.select("in_class").toArrow()["in_class"].to_pylist():  # one row a bucket
-        in_class += np.array(part)
-    list_value, list_count, list_class = by_value(most_frequent(words, max(1, listed // n), word_types))
+    for row in words.select(F.posexplode("in_class").alias("class", "words")).groupBy("class").agg(F.sum("words").alias("words")).collect():  # one row a class
+        in_class[row["class"]] = row["words"]
+    list_value, list_count, list_class = by_value(most_frequent(words, max(1, listed // n), word_types).orderBy(F.desc("count"), "value").limit(listed))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             vocab = np.frombuffer(row["vocab"], "u8")
             far = vocab[~looked_up(list_value, vocab)[1]]
-            asked = pack((far % np.uint64(n)).astype(np.int32), [far], n)
+            asked = pack((far % np.uint64(n)).astype(np.int32), [far])
             yield pa.RecordBatch.from_arrays([*asked.columns, pa.array([row["block"]] * asked.num_rows, pa.int64())], ["bucket", "blob", "block"])
 
     def reply(questions: pa.Table, table: pa.Table) -> pa.Table:
@@ -321,7 +321,7 @@ def score_documents(
         for row in rows_of(batches):
             grid += np.frombuffer(row["grid"], "i8")
         code = np.flatnonzero(grid)
-        yield pack((code % n).astype(np.int32), [code.astype("i8"), grid[code]], n)
+        yield pack((code % n).astype(np.int32), [code.astype("i8"), grid[code]])
 
     grid = summed(resolved.select("grid").mapInArrow(count_classes, PACKED), c + 2).astype(np.float64)
     grid[c] = grid.sum(0)  # after the unknown word, of which there are no counts

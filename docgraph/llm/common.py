@@ -6,7 +6,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import release, scratch, written  # noqa: F401
+
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
@@ -22,21 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/docgraph-{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def normalised(text: Column) -> Column:
     """``text`` (null: empty) with each run of white space as one blank; plain replaces first, as most runs are single."""
     t = F.coalesce(text, F.lit(""))
@@ -51,9 +37,23 @@ def words_in(text: Column) -> Column:
     return F.when(t == "", 0).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def n_buckets(spark: SparkSession, factor: int = 2) -> int:
-    """Buckets for packed shuffles; follows the session's shuffle width, which a deployment sizes to its data."""
-    return factor * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input files that one bucket of a packed shuffle stands for at most.
+BUCKET = 16 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of the bytes of ``df``; 0 where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 58 else 0
+
+
+def n_buckets(df: DataFrame) -> int:
+    """Buckets for packed shuffles of ``df``: a worker holds one at a time, so their number follows the input's bytes."""
+    return max(2 * n_tasks(df.sparkSession), -(-input_bytes(df) // BUCKET))
+
+
+def n_tasks(spark: SparkSession) -> int:
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def docs_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,16 +90,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def pack(buckets: np.ndarray, columns: list[np.ndarray], n: int) -> pa.RecordBatch:
+def pack(buckets: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     """Rows of (bucket, blob): the columns' bytes of each bucket, one column after another.
 
     One row per bucket instead of one per item keeps the shuffle's per-row cost out of the JVM.
     """
     order = np.argsort(buckets, kind="stable")
     buckets, columns = buckets[order], [c[order] for c in columns]
-    cuts = np.searchsorted(buckets, np.arange(n + 1))
-    ids = [b for b in range(n) if cuts[b + 1] > cuts[b]]
-    blobs = [b"".join(c[cuts[b] : cuts[b + 1]].tobytes() for c in columns) for b in ids]
+    first = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.empty(0, np.int64)
+    ids = buckets[first]
+    blobs = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(first, np.append(first, len(buckets))[1:], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
