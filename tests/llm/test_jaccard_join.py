@@ -1,8 +1,12 @@
 import random
+import sys
 
 import numpy as np
+from pyspark import cloudpickle
 
-from docgraph.llm.jaccard_join import Sets, join, linked, near_components
+from docgraph.llm.jaccard_join import Sets, join, keep_one, linked, near_components
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def brute(rows):
@@ -65,10 +69,52 @@ def test_crowded_regions_lose_no_link(spark, monkeypatch):
 
     rows = corpus(random.Random(5))
     monkeypatch.setattr(m, "PAIRS", 4)
-    monkeypatch.setattr(m, "COMMON", 6)
     assert run(spark, rows) == brute(rows)
 
 
+def test_large_blocks_are_dealt_without_loss(spark, monkeypatch):
+    import docgraph.llm.jaccard_join as m
+
+    monkeypatch.setattr(m, "LIMIT", 5)
+    for seed, pairs in ((6, 256), (7, 3)):
+        monkeypatch.setattr(m, "PAIRS", pairs)
+        rows = corpus(random.Random(seed), copies=30)
+        assert run(spark, rows) == brute(rows)
+
+
+def test_regions_are_named_by_all_bits(spark, monkeypatch):
+    """Sets of 32 and 24 shingles, at 3/4 exactly, whose hashes agree in their upper halves and modulo small numbers."""
+    import docgraph.llm.jaccard_join as m
+
+    monkeypatch.setattr(m, "shingle_set", crowded)
+    rows = [(1, "32"), (2, "24"), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_components(df).collect()) == [(1, 32, 1), (2, 24, 1), (3, 0, 3)]
+
+
+def crowded(text):
+    return np.arange(int(text or 0)).astype(np.uint64) * np.uint64(720720)
+
+
+def test_rows_are_judged_one_by_one(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(["other", *base[1:]])
+    rows = [(3, " ".join(base)), (5, "alone " * 9), (5, near), (None, near + " x"), (None, "one more text of its own here"), (7, "alone " * 9), (9, ""), (9, None), (9, "alone " * 9)]
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, __of string, row int").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_one(df.drop("__of")).collect()), key=str)
+    assert got == sorted([(3, " ".join(base)), (5, "alone " * 9), (None, "one more text of its own here"), (9, ""), (9, None)], key=str)
+    assert keep_one(df.limit(0).drop("__of")).count() == 0
+
+
+def test_repeated_and_null_ids_and_very_long_texts(spark):
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(5000)}" for _ in range(40_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-500], "x"])), (4, "a b c d e f g"), (4, "a b c d e f g"), (4, " ".join(long[:-3])), (6, None)]
+    assert run(spark, rows) == brute(rows)
+    nulls = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g h"), (None, "p q"), (3, "p q")], "doc_id long, text string")
+    assert sorted(((r[0], r[2]) for r in near_components(nulls).collect()), key=str) == sorted([(None, None), (None, None), (None, 3), (3, 3)], key=str)
+
+
 def test_empty_table(spark):
     assert near_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
