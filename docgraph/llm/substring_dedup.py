@@ -1,17 +1,21 @@
 """Substring dedup: windows of words that start earlier elsewhere, found with FM-indexes.
 
+Blocks. The texts are cut into words once and written in compressed blocks, beside the values that route them.
+
 Routing. Equal windows must meet in one index. Every window of ``window`` words is given the least hash of
 the ``SEED``-word grams inside it, a function of its words alone; a run of windows with one such value is a
-segment. A value that occurs once in the corpus cannot belong to a repeated window, so a first pass over
-hashes alone (packed arrays, no text) finds the segments that can repeat, and only their texts move on.
-Values that occur in more than ``HOT`` segments are split: their windows are routed one by one by a hash of
-the whole window. Copies of a segment merge in the mappers, which keep its first place.
-
-Indexing. A shard of segments, in the order of their first places, becomes one text over word codes; its
-suffixes are sorted by their first ``window`` symbols, ties by place, and the Burrows-Wheeler transform is
-kept as a wavelet matrix of packed bit vectors with rank counts. Backward search computes the matching
-statistics of the streamed segments: one window's interval is shortened by a symbol on the right and extended
-by one on the left to give the next. The first suffix of an interval is the window's first place.
+segment. A value that occurs once in the corpus cannot belong to a repeated window: each block sends its distinct values
+with their counts (so a line in every document is one entry a block), and is told which of them repeat. Only segments
+of those values move on. Values that occur in more than ``HOT`` segments are split: their windows are routed one by one
+by a hash of the whole window. Copies of a segment merge in the mappers, which keep its first place.
+
+Indexing. A shard of segments, in the order of their first places, becomes one text over word codes; its suffixes are
+sorted by their first ``window`` symbols, and only compressed structures stay: the Burrows-Wheeler transform as a
+wavelet matrix of packed bit vectors with rank counts, and one more bit vector that marks where the first ``window`` - 1
+symbols change. Backward search computes the matching statistics of the streamed segments: one window's interval is
+shortened by a symbol on the right and extended by one on the left to give the next. No suffix array is kept: segments
+are streamed in the order of their places, so of the windows that report one interval the first to come is the first
+place, and the others start earlier elsewhere.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; rows that
 repeat an id have equal places, so neither is earlier than the other at an equal start; a null id comes first; an
@@ -26,10 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, docs_only, encoded, mix64, n_buckets, pack, small_batches, unpack, word_hashes, written
+from .common import docs_only, encoded, mix64, n_buckets, pack, release, small_batches, unpack, word_hashes, written
 
 WINDOW, SEED, HOT = 20, 8, 2000
 #: Symbols of one index: a shard larger than this is indexed in blocks of whole routes.
@@ -73,8 +78,9 @@ def ids_of(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def text_key(text: bytes) -> int:
-    return int(np.frombuffer(xxhash.xxh3_64_digest(text), ">i8")[0])
+def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted table."""
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values if len(table) else np.zeros(len(values), bool)
 
 
 def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
@@ -88,7 +94,7 @@ def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
 def pieces(h: np.ndarray, wanted: np.ndarray, hot: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(route, start, windows) of the segments whose value is wanted; hot ones as single windows."""
     value, start, count = segments(h, window, seed)
-    keep, split = np.isin(value, wanted), np.isin(value, hot)
+    keep, split = among(value, wanted), among(value, hot)
     route, at, n = value[keep & ~split], start[keep & ~split], count[keep & ~split]
     if (keep & split).any():
         s, c = start[keep & split], count[keep & split]
@@ -98,31 +104,48 @@ def pieces(h: np.ndarray, wanted: np.ndarray, hot: np.ndarray, window: int, seed
     return route, at, n
 
 
+class Bits:
+    """A packed bit vector with counts per 64 bits: ones before a place, and the place of the k-th one."""
+
+    def __init__(self, bit: np.ndarray) -> None:
+        padded = np.zeros((len(bit) // 64 + 1) * 64, np.uint8)
+        padded[: len(bit)] = bit
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        ones = np.bitwise_count(self.words).astype(np.int64)
+        self.counts = (np.cumsum(ones) - ones).astype(np.int32)
+        self.ones, self.n = int(ones.sum()), len(bit)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        return self.counts[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th one, from 0; the length of the vector for k = ``ones``."""
+        word = np.searchsorted(self.counts, k, side="right") - 1
+        left, w, at = k - self.counts[word], self.words[word], word << 6
+        for half in (32, 16, 8, 4, 2, 1):
+            low = np.bitwise_count(w & np.uint64((1 << half) - 1))
+            up = left >= low
+            left, at, w = np.where(up, left - low, left), np.where(up, at + half, at), np.where(up, w >> np.uint64(half), w)
+        return np.where(k >= self.ones, self.n, at)
+
+
 class WaveletMatrix:
-    """Rank over a sequence of codes: one packed bit vector with counts per 64 bits for each bit of a code."""
+    """Rank over a sequence of codes: one packed bit vector for each bit of a code."""
 
     def __init__(self, codes: np.ndarray, sigma: int) -> None:
-        self.levels = max(1, int(sigma - 1).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
-        n = len(codes)
-        for level in range(self.levels - 1, -1, -1):
+        self.bits, self.zeros = [], []
+        for level in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
             bit = ((codes >> level) & 1).astype(np.uint8)
-            padded = np.zeros((n // 64 + 1) * 64, np.uint8)
-            padded[:n] = bit
-            words = np.packbits(padded, bitorder="little").view(np.uint64)
-            ones = np.bitwise_count(words).astype(np.int64)
-            self.words.append(words)
-            self.counts.append((np.cumsum(ones) - ones).astype(np.int32))
-            self.zeros.append(n - int(bit.sum()))
+            self.bits.append(Bits(bit))
+            self.zeros.append(len(codes) - self.bits[-1].ones)
             codes = np.concatenate([codes[bit == 0], codes[bit == 1]])
         self.base = self.walk(np.arange(sigma), np.zeros(sigma, np.int64))
 
     def walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for k, level in enumerate(range(self.levels - 1, -1, -1)):
-            word = at >> 6
-            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.counts[k][word] + np.bitwise_count(self.words[k][word] & mask)
-            at = np.where((symbol >> level) & 1, self.zeros[k] + ones, at - ones)
+        for k, bits in enumerate(self.bits):
+            ones = bits.rank(at)
+            at = np.where((symbol >> (len(self.bits) - 1 - k)) & 1, self.zeros[k] + ones, at - ones)
         return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -130,7 +153,7 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Counts and places of patterns up to ``depth`` symbols in a text of codes."""
+    """Intervals of patterns up to ``depth`` symbols of a text of codes, in packed bits alone."""
 
     def __init__(self, text: np.ndarray, sigma: int, depth: int) -> None:
         n = len(text)
@@ -153,15 +176,11 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = new
             have += step
-        self.sa = order.astype(np.int32)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
-        self.bwt = WaveletMatrix(text[self.sa - 1].astype(np.int64), sigma)
-        # Runs of suffixes with equal first depth - 1 symbols: what an interval becomes when its last symbol goes.
-        s = shorter[self.sa]
-        head = np.concatenate([[True], s[1:] != s[:-1]])
-        heads = np.flatnonzero(head)
-        self.run = np.cumsum(head) - 1
-        self.run_start, self.run_end = heads, np.append(heads[1:], n)
+        self.bwt = WaveletMatrix(text[order - 1].astype(np.int64), sigma)
+        # Where suffixes' first depth - 1 symbols change: what an interval becomes when its last symbol goes.
+        s = shorter[order]
+        self.heads = Bits(np.concatenate([[True], s[1:] != s[:-1]]))
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the intervals of symbol + pattern."""
@@ -171,8 +190,8 @@ class FMIndex:
 
     def shorten(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of patterns of full depth without their last symbol."""
-        r = self.run[lo]
-        return self.run_start[r], self.run_end[r]
+        r = self.heads.rank(lo + 1)
+        return self.heads.select(r - 1), self.heads.select(r)
 
 
 def matching_intervals(index: FMIndex, text: np.ndarray, start: np.ndarray, count: np.ndarray, most: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,7 +239,9 @@ def judge_block(texts: list[bytes], window: int) -> list[np.ndarray]:
     index = FMIndex(flat, int(flat.max()) + 1, window)
     place, lo, _ = matching_intervals(index, flat, start, count)
     earlier = np.zeros(len(flat), bool)
-    earlier[place] = index.sa[lo] < place
+    order = np.lexsort([place, lo])
+    again = lo[order][1:] == lo[order][:-1]
+    earlier[place[order][1:][again]] = True
     return [earlier[s : s + c] for s, c in zip(start, count, strict=True)]
 
 
@@ -253,81 +274,86 @@ def _sent(buckets: dict[int, dict[bytes, list]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
+BLOCKS = ["block", "ids", "lengths", "words", "bucket", "blob"]
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row; with ``spans`` also kept (the words left) and removed_spans."""
-    spark = docs.sparkSession
-    n = n_buckets(spark)
+    n = n_buckets(docs)
     d = docs_only(docs, id_col, text_col)
 
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 16 << 20):
-            values, owners = [], []
-            for doc_id, text in zip(ids_of(batch), encoded(batch), strict=True):
-                value = seed_values(word_hashes(text.split()), window, seed)
-                values.append(value)
-                owners.append(np.full(len(value), doc_id))
-            value = np.concatenate(values)
-            yield pack((value % np.uint64(n)).astype(np.int32), [value, np.concatenate(owners)], n)
-
-    def repeats(table: pa.Table) -> pa.Table:
-        value, owner = unpack(table["blob"].to_pylist(), ["u8", "i8"])
-        order = np.argsort(value, kind="stable")
-        value, owner = value[order], owner[order]
-        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        count = np.repeat(np.diff(np.append(first, len(value))), np.diff(np.append(first, len(value))))
-        keep = count > 1
-        value, owner, is_hot = value[keep], owner[keep], (count[keep] > hot).astype(np.uint8)
-        return pa.Table.from_batches([pack((mix64(owner.view(np.uint64)) % np.uint64(n)).astype(np.int32), [value, owner, is_hot], n)])
-
-    def per_document(table: pa.Table) -> pa.Table:
-        value, owner, is_hot = unpack(table["blob"].to_pylist(), ["u8", "i8", "u1"])
-        order = np.lexsort([value, owner])
-        value, owner, is_hot = value[order], owner[order], is_hot[order].astype(bool)
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
-        cut = [(a, b) for a, b in zip(first, np.append(first[1:], len(owner)), strict=True)]
-        wanted = [np.unique(value[a:b]).tobytes() for a, b in cut]
-        hots = [np.unique(value[a:b][is_hot[a:b]]).tobytes() for a, b in cut]
-        return pa.table([pa.array(owner[first]), pa.array(wanted, pa.binary()), pa.array(hots, pa.binary())], ["owner", "wanted", "hot"])
-
-    found = d.mapInArrow(seeds, PACKED).groupBy("bucket").applyInArrow(repeats, PACKED)
-    found = found.groupBy("bucket").applyInArrow(per_document, "owner long, wanted binary, hot binary")
-
-    work_schema = "doc_id long, n_words long, kept_sha256 string, words binary, route binary, start binary, windows binary, text_key long"
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row with the texts of each block, words joined by one blank, and rows of (bucket, values, their counts)."""
+        part, k = TaskContext.get().partitionId(), 0
         for batch in small_batches(batches, 8 << 20):
-            out: list[list] = [[] for _ in range(7)]
-            for text, wanted, hots in zip(encoded(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words = text.split()
-                row = [len(words), None, None, None, None, None, None]
-                if wanted is not None:
-                    route, start, count = pieces(word_hashes(words), np.frombuffer(wanted, np.uint64), np.frombuffer(hots, np.uint64), window, seed)
-                    if len(route):
-                        joined = b" ".join(words)
-                        row[2:] = [joined, route.tobytes(), start.astype("i8").tobytes(), count.astype("i8").tobytes(), text_key(joined)]
-                if row[2] is None:
-                    row[1] = hashlib.sha256(b" ".join(words)).hexdigest()
-                    row[2] = b" ".join(words) if spans else None
-                for column, v in zip(out, row, strict=True):
-                    column.append(v)
-            types = [pa.int64(), pa.string(), *[pa.binary()] * 4, pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], [f.split()[0] for f in work_schema.split(", ")])
+            for i in range(0, batch.num_rows, 1 << 16):
+                b = batch.slice(i, 1 << 16)
+                split = [t.split() for t in encoded(b)]
+                joined = [b" ".join(w) for w in split]
+                value, times = np.unique(np.concatenate([seed_values(word_hashes(w), window, seed) for w in split]), return_counts=True)
+                sent = pack((value % np.uint64(n)).astype(np.int32), [value, times.astype("u4")])
+                block, text = (part << 24) + k, b"".join(joined)
+                rows = [[block, ids_of(b).tobytes(), np.array([len(t) for t in joined], np.int64).tobytes(), pa.compress(text, "zstd", asbytes=True), None, None]]
+                rows += [[block, None, None, None, bucket, blob] for bucket, blob in zip(*(c.to_pylist() for c in sent.columns), strict=True)]
+                k += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()), strict=True)], BLOCKS)
+
+    blocks = written(d.mapInArrow(make_blocks, "block long, ids binary, lengths binary, words binary, bucket int, blob binary"), "blocks")
 
-    owned = d.join(found, F.coalesce(d["doc_id"], F.lit(NULL_ID)) == found["owner"], "left").select("doc_id", "text", "wanted", "hot")
-    work = written(owned.mapInArrow(cut, work_schema), "windows")
+    def repeats(table: pa.Table) -> pa.Table:
+        """For each block, those of its values of this bucket that occur twice or more anywhere, and the frequent ones."""
+        parts = [unpack([blob], ["u8", "u4"]) for blob in table["blob"].to_pylist()]
+        value, times = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        every, of = np.unique(value, return_inverse=True)
+        total = np.bincount(of, times)[of]
+        cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
+        keep, often = np.split(total > 1, cuts), np.split(total > hot, cuts)
+        return pa.table([table["block"], pa.array([p[0][k].tobytes() for p, k in zip(parts, keep, strict=True)], pa.binary()), pa.array([p[0][k].tobytes() for p, k in zip(parts, often, strict=True)], pa.binary())], ["block", "wanted", "hot"])
+
+    answers = blocks.where("blob IS NOT NULL").select("bucket", "block", "blob").groupBy("bucket").applyInArrow(repeats, "block long, wanted binary, hot binary")
+
+    work_schema = "row long, doc_id long, n_words long, kept_sha256 string, words binary, route binary, start binary, windows binary"
+
+    def cut(block: pa.Table, told: pa.Table) -> pa.Table:
+        wanted, hots = (np.sort(np.frombuffer(b"".join(told[c].to_pylist()), np.uint64)) for c in ("wanted", "hot"))
+        (name, ids, lengths, packed) = block.to_pylist()[0].values()
+        ids, lengths = np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.int64)
+        text = pa.decompress(packed, int(lengths.sum()), "zstd", asbytes=True)
+        out: list[list] = [[] for _ in range(6)]
+        for end, length in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
+            joined = text[end - length : end]
+            words = joined.split()
+            row = [len(words), None, None, None, None, None]
+            route, start, count = pieces(word_hashes(words), wanted, hots, window, seed)
+            if len(route):
+                row[2:] = [joined, route.tobytes(), start.astype("i8").tobytes(), count.astype("i8").tobytes()]
+            else:
+                row[1:3] = [hashlib.sha256(joined).hexdigest(), joined if spans else None]
+            for column, v in zip(out, row, strict=True):
+                column.append(v)
+        types = [pa.int64(), pa.string(), *[pa.binary()] * 4]
+        # A row's number: 2**16 rows a block at most.
+        rows = [pa.array((name << 16) + np.arange(len(ids))), pa.array(ids, mask=ids == NULL_ID)]
+        return pa.table([*rows, *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], [f.split()[0] for f in work_schema.split(", ")])
+
+    texts = blocks.where("blob IS NULL").select("block", "ids", "lengths", "words")
+    work = written(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, work_schema), "windows")
+    release(blocks)
     cutted = work.where(F.col("route").isNotNull())
 
-    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, int, int, int, int]]:
-        for doc_id, text, route, start, count in zip(ids_of(batch), *(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
-            words, key = text.split(b" "), text_key(text)
+    def parts(batch: pa.RecordBatch, first: int) -> Iterator[tuple[int, bytes, int, int, int]]:
+        """(id or row, words, route, start, windows) of each segment; ``first`` is the column to begin with."""
+        head = ids_of(batch) if first == 0 else batch.column(first).to_numpy()
+        for doc_id, text, route, start, count in zip(head, *(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            words = text.split(b" ")
             for r, s, c in zip(np.frombuffer(route, np.uint64).tolist(), np.frombuffer(start, "i8").tolist(), np.frombuffer(count, "i8").tolist(), strict=True):
-                yield int(doc_id), b" ".join(words[s : s + c + window - 1]), r, s, c, key
+                yield int(doc_id), b" ".join(words[s : s + c + window - 1]), r, s, c
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets: dict[int, dict[bytes, list]] = {}
         held = 0
         for batch in small_batches(batches, 4 << 20):
-            for doc_id, text, r, s, _, _ in parts(batch):
+            for doc_id, text, r, s, _ in parts(batch, 0):
                 mine = buckets.setdefault(r % n, {})
                 have = mine.get(text)
                 if have is None:
@@ -364,18 +390,20 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, ho
         return pa.table([pa.array(c, t) for c, t in zip(rows, (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], [f.split()[0] for f in verdict_schema.split(", ")])
 
     texts = cutted.select("doc_id", "words", "route", "start", "windows")
-    verdicts = texts.mapInArrow(distinct, PACKED).groupBy("bucket").applyInArrow(shard, verdict_schema)
+    verdicts = texts.mapInArrow(distinct, "bucket int, blob binary").groupBy("bucket").applyInArrow(shard, verdict_schema)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 4 << 20):
-            got = [(xxhash.xxh3_128_digest(text), doc_id, s, c, key) for doc_id, text, _, s, c, key in parts(batch)]
+            own = dict(zip(batch.column(5).to_pylist(), ids_of(batch).tolist(), strict=True))
+            got = [(xxhash.xxh3_128_digest(text), row, own[row], s, c) for row, text, _, s, c in parts(batch, 5)]
             columns = list(zip(*got, strict=True)) or [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["of", "owner", "start", "windows", "owner_text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["of", "row", "owner", "start", "windows"])
 
     # A copy loses all its windows; the first place of a segment loses those that start earlier elsewhere.
-    seen = texts.mapInArrow(occurrences, "of binary, owner long, start long, windows long, owner_text long").join(verdicts, F.col("of") == F.col("key"))
+    placed = cutted.select("doc_id", "words", "route", "start", "windows", "row")
+    seen = placed.mapInArrow(occurrences, "of binary, row long, owner long, start long, windows long").join(verdicts, F.col("of") == F.col("key"))
     own = (F.col("owner") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
-    gone = seen.select("owner", "owner_text", F.struct("start", "windows", F.when(own, F.col("mask")).alias("mask")).alias("g")).groupBy("owner", "owner_text").agg(F.collect_list("g").alias("gone"))
+    gone = seen.select(F.col("row").alias("of_row"), F.struct("start", "windows", F.when(own, F.col("mask")).alias("mask")).alias("g")).groupBy("of_row").agg(F.collect_list("g").alias("gone"))
     final_schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept binary, removed_spans array<long>" if spans else "")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,6 +429,6 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, ho
             names = [f.split()[0] for f in final_schema.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), n_words, *arrays[: len(names) - 2]], names)
 
-    touched = cutted.select("doc_id", "words", "text_key").join(gone, (F.coalesce(cutted["doc_id"], F.lit(NULL_ID)) == gone["owner"]) & (F.col("text_key") == F.col("owner_text")), "left").select("doc_id", "words", "gone")
+    touched = cutted.select("row", "doc_id", "words").join(gone, F.col("row") == F.col("of_row"), "left").select("doc_id", "words", "gone")
     rest = work.where(F.col("route").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", *([F.col("words").alias("kept"), F.array().cast("array<long>").alias("removed_spans")] if spans else []))
     return touched.mapInArrow(remove, final_schema).unionByName(rest)

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from docgraph.llm.substring_dedup import FMIndex, repeated_windows
+from docgraph.llm.substring_dedup import Bits, FMIndex, repeated_windows
 
 
 def brute(rows, window):
@@ -69,4 +69,20 @@ def test_fm_index_counts():
         for c in p[::-1]:
             lo, hi = index.extend(np.array([c]), lo, hi)
         places = [i for i in range(len(text) - m + 1) if (text[i : i + m] == p).all()]
-        assert sorted(index.sa[lo[0] : hi[0]].tolist()) == places
+        assert hi[0] - lo[0] == len(places)
+
+
+def test_packed_bits():
+    rng = np.random.default_rng(4)
+    for n in (1, 63, 64, 65, 1000):
+        bit = rng.random(n) < 0.3
+        b = Bits(bit)
+        assert b.rank(np.arange(n + 1)).tolist() == [int(bit[:i].sum()) for i in range(n + 1)]
+        assert b.select(np.arange(b.ones + 1)).tolist() == [*np.flatnonzero(bit).tolist(), n]
+
+
+def test_very_long_texts_and_many_blocks(spark):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(50)}" for _ in range(60_000))
+    rows = [(1, long), (2, "start " + long[: len(long) // 2]), (3, "a b " * 30_000), (3, "a b " * 30_000)]
+    check(spark, rows)
