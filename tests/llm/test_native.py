@@ -30,18 +30,27 @@ def test_exact_groups(spark):
     assert sorted(map(tuple, exact_groups(frame(spark)).collect()), key=str) == sorted(want, key=str)
     assert exact_groups(frame(spark).limit(0)).count() == 0
     kept = keep_first(frame(spark))
-    assert kept.columns == frame(spark).columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "3", "4", "6", "7", "7", "None", "9"])
+    assert kept.columns == frame(spark).columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "3", "4", "6", "7", "None", "9"])
+
+
+def test_rows_are_judged_one_by_one(spark):
+    rows = [(3, "B", "s"), (5, "A", "s"), (5, "B", "s"), (5, "A", "s"), (None, "A", "s"), (None, "C", "s"), (None, "C", "t"), (None, None, "s"), (8, "", "s")]
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_first(frame(spark, rows).repartition(3)).collect()), key=str)
+    assert got == sorted([(3, "B"), (5, "A"), (None, "C"), (8, "")], key=str)
+    assert keep_first(frame(spark).limit(0)).count() == 0
 
 
 def test_chunks_join_to_the_text_and_resist_shifts(spark):
     import random
 
     rng = random.Random(4)
-    text = " ".join(rng.choice(["tea.", "word", "no,", "über", "x" * 20]) for _ in range(3000))
-    df = spark.createDataFrame([(text,), ("inserted at the front " + text,)], "t string")
-    one, two = [r[0] for r in df.select(chunks(F.col("t"), 64, 512)).collect()]
-    assert "".join(one) == text and len(one) > 10 and max(map(len, one)) <= 513
-    assert len(set(one) & set(two)) > 0.6 * len(one)
+    latin = " ".join(rng.choice(["tea.", "word", "no,", "über", "x" * 20, *(f"q{i}" for i in range(90))]) for _ in range(3000))
+    others = ["".join(chr(rng.randint(a, b)) + " " * (rng.random() < 0.1) for _ in range(9000)) for a, b in ((0x430, 0x44F), (0x4E00, 0x9FA5), (0x627, 0x64A), (0x3041, 0x3096), (0x905, 0x939))]
+    for text in (latin, *others):
+        df = spark.createDataFrame([(text,), ("ins" + text,)], "t string")
+        one, two = [r[0] for r in df.select(chunks(F.col("t"), 256, 4096)).collect()]
+        assert "".join(one).encode("latin-1").decode() == text and len(one) > 10 and max(map(len, one)) <= 4096
+        assert len(set(one) & set(two)) > 0.6 * len(one)
 
 
 def reshared(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
@@ -83,4 +92,8 @@ def test_mix(spark):
     assert again == {(r["doc_id"], r["copies"]) for r in got}
     out = mixed(frame(spark, rows))
     assert out.columns == frame(spark, rows).columns and out.count() == sum(r["copies"] for r in got)
+    odd = [(7, "a b", "s"), (7, "c", "s"), (7, "a b", "s"), (None, "d", "s"), (None, None, None), (8, "w " * 100_000, "t")]
+    twice = {(r["doc_id"], r["size"]): r["copies"] for r in mix(frame(spark, odd)).collect()}
+    assert twice[7, 2] == twice[7, 1] and twice[8, 100_000] <= 2 and twice[None, 0] in (0, 1, 2)  # one id, one draw
+    assert len(mix(frame(spark, odd)).collect()) == 6
     assert mix(frame(spark, rows).limit(0)).count() == 0 and mixed(frame(spark, rows).limit(0)).count() == 0
