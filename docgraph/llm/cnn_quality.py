@@ -4,13 +4,15 @@ A text is cut into chunks of ``CHUNK`` windows that overlap by one window less a
 ``WIDTH`` bytes of the whole text lies in exactly one chunk. Learned filters run over each chunk and are
 max-pooled; a document combines its chunks' maxima (their mean and their maximum) into one probability.
 
-The model is fitted on the driver on at most ``sample`` labelled rows (the bound is a parameter), chosen by a
-hash of their id, never on rows of the held-out fold; nothing but the text enters a score. Scoring runs in
-the mappers, without a shuffle.
+The model is fitted on the driver on at most ``sample`` labelled rows and ``sample_bytes`` bytes of text (both bounds
+are parameters), chosen by a hash of their id, never on rows of the held-out fold; nothing but the text enters a score.
+Of rows that repeat an id the least text is taken; a text that does not fit into what is left of the bytes is passed
+over. Scoring runs in the mappers, without a shuffle.
 
 Defined results: null and empty texts have no chunk and score by the bias of the empty feature vector; rows
-without a label are scored alike; repeated rows score alike; with no labelled row, or one class only, every
-score is the share of label 1 (0.5 if none); an empty table gives no rows; other columns are not read.
+without a label are scored alike; repeated rows score alike; a null id has no label and is not held out; a score equal
+to the threshold is predicted 1; with no labelled row, or one class only, every score is the share of label 1 (0.5 if
+none); an empty table gives no rows; other columns are not read. Texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -150,12 +152,23 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held: int = 2, sample: int = 3000) -> Model:
-    """Fit on at most ``sample`` labelled rows outside the held-out fold; only their ids and texts reach the driver."""
+def train(
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held: int = 2, sample: int = 3000, sample_bytes: int = 32 << 20
+) -> Model:
+    """Fit on labelled rows outside the held-out fold; at most ``sample`` texts of ``sample_bytes`` together reach the driver."""
     mine = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & (fold(F.col("doc_id"), folds) != held))
-    chosen = mine.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    rows = docs_only(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toArrow()  # ``sample`` rows at most
-    got = sorted(zip(rows["doc_id"].to_pylist(), rows["text"].cast(pa.binary()).to_pylist(), rows["y"].to_pylist(), strict=True))
+    chosen = mine.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs_only(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= sample_bytes)
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("r")).select("doc_id", "r.*")
+    # Of ``sample`` rows at most: those that fit one after another, in the order of the ids.
+    sizes = rows.select("doc_id", F.octet_length("text").alias("size")).orderBy("doc_id").collect()
+    fits, left = [], sample_bytes
+    for r in sizes:
+        if r["size"] <= left:
+            fits.append(r["doc_id"])
+            left -= r["size"]
+    got = rows.where(F.col("doc_id").isin(fits)).toArrow() if len(fits) < len(sizes) else rows.toArrow()
+    got = sorted(zip(got["doc_id"].to_pylist(), got["text"].cast(pa.binary()).to_pylist(), got["y"].to_pylist(), strict=True))
     return fit([t for _, t, _ in got], np.array([y for _, _, y in got]))
 
 
