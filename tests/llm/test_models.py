@@ -3,8 +3,8 @@ import zlib
 
 import numpy as np
 
-from docgraph.llm.ann import nearest, search_shard
-from docgraph.llm.cnn_quality import CHUNK, WIDTH, chunked, fit, keep_good, score_documents, scores, train
+from docgraph.llm.ann import Shard, nearest
+from docgraph.llm.cnn_quality import CHUNK, FILTERS, WIDTH, Model, chunked, fit, keep_good, score_documents, scores, train
 
 
 def held(doc_id):
@@ -90,5 +90,58 @@ def test_nearest_against_brute_force(spark):
 
 def test_few_candidates():
     v = np.eye(3, dtype=np.float32)
-    q, c, s = search_shard(np.arange(3), v, np.array([0]), v[:1], 5)
+    q, c, s = Shard.of(np.arange(3), v).search(np.array([0]), v[:1], 5)
     assert sorted(c.tolist()) == [1, 2] and np.allclose(s, 0)
+
+
+def test_a_repeated_id_is_one_item(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.1]), (1, [0.9, 0.1]), (1, [0.2, 0.9]), (2, [0.5, 0.5]), (3, [0.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in nearest(df, df.where("vec_id % 50 = 0"), k=3).orderBy("rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3)]
+
+
+def test_clustered_vectors_need_few_cells(spark, monkeypatch):
+    """Many cells and shards, one cell with a third of the rows; recall is kept although queries visit few cells."""
+    import docgraph.llm.ann as m
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(24, 24))
+    of = np.where(rng.random(3000) < 1 / 3, 0, rng.integers(0, 24, 3000))
+    x = (centres[of] + 0.3 * rng.normal(size=(3000, 24))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(m, "BLOCK", 7)
+    got = {}
+    for r in nearest(df, df.where("vec_id % 50 = 0"), shard_rows=150, probe=20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(rows)
+    assert sum(len(got[q] & {j for j, _ in want[q]}) for q in want) >= 0.95 * sum(map(len, want.values()))
+
+
+def test_scores_equal_a_plain_convolution():
+    """Every window of the whole text, one after another, in plain loops."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (1, 4, 5, 6, 255, 256, 257, 260, 700)] + [b""]
+    model = Model(rng.normal(0, 0.4, (WIDTH, 256, FILTERS)).astype(np.float32), rng.normal(0, 0.3, FILTERS).astype(np.float32), rng.normal(0, 0.5, 2 * FILTERS + 1), 0.2)
+    for text, got in zip(texts, scores(model, texts), strict=True):
+        padded = text.ljust(WIDTH, b"\0") if text else b""
+        windows = [sum(model.table[j][padded[i + j]].astype(np.float64) for j in range(WIDTH)) for i in range(len(padded) - WIDTH + 1)] if text else []
+        chunks = [np.maximum(np.max(windows[i : i + CHUNK], axis=0) + model.bias, 0) for i in range(0, len(windows), CHUNK)]
+        f = np.zeros(2 * FILTERS + 1)
+        if chunks:
+            f[:FILTERS], f[FILTERS:-1] = np.mean(chunks, axis=0), np.max(chunks, axis=0)
+            f[-1] = np.log(CHUNK / min(CHUNK, max(len(windows[i : i + CHUNK]) for i in range(0, len(windows), CHUNK))))
+        assert abs(got - 1 / (1 + np.exp(-(f @ model.out + model.out_bias)))) < 1e-5
+
+
+def test_odd_rows_and_the_bound_of_bytes(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (None, "a"), (None, None), (2, "c" * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, 0), (3, 1), (4, None)], "doc_id long, quality int")
+    model = fit([b"good text here", b"###"], np.array([1, 0]))
+    got = score_documents(docs, model).collect()
+    assert len(got) == 6 and len({r["score"] for r in got if r["doc_id"] == 1}) <= 2 and not any(r["held_out"] for r in got if r["doc_id"] is None)
+    assert train(docs, labels, held=9, sample_bytes=100).constant == 0.0  # id 1 alone: its least label
+    assert train(docs, labels, held=9, sample_bytes=5000).constant == 0.0
+    assert keep_good(docs, model, threshold=0.0).count() == 6
+    assert keep_good(docs.limit(0), model).count() == 0 and train(docs.limit(0), labels).constant == 0.5
