@@ -1,20 +1,23 @@
 """Token-id files: Parquet list columns with dictionary or delta encoding, sized row groups and page indexes.
 
-Documents are range-partitioned by id before they are encoded, so each file holds a contiguous range of ids
-in ascending order and the encoder runs once per text. A file keeps (doc_id, n_tokens, start_in_file, tokens):
-metadata reads touch only the small columns, and with the page index a read of some ids touches only
-their pages. ``start`` of a document is the tokens of all files before plus its start in the file.
+Documents are range-partitioned by id (and a hash of the text, which splits an id that many rows repeat) before they
+are encoded, so each task writes a contiguous range of ids in ascending order and the encoder runs once per text.
+A row keeps (doc_id, n_tokens, part, start_in_part, tokens): metadata reads touch only the small columns, and with
+the page index a read of some ids (``read_selected``) touches only their pages. ``start`` of a document is the tokens
+of all parts before plus its start in the part; parts are numbers, so neither file names nor how many files a task
+writes matter.
 
-Words between ASCII white space are encoded one by one and cached: the vocabulary's normaliser and
-pre-tokeniser never look across white space, so the ids of a text are the ids of its words.
+With the vocabulary's known normaliser and pre-tokeniser, which never look across white space, words between ASCII
+white space are encoded one by one and cached; a vocabulary of another form is encoded text by text by the library.
 
 Defined results: a null or empty text holds the end id alone; special-token strings in a text become their
-ids; rows that repeat an id are ordered by text; a null id comes first; an empty table writes no rows and
-reads as none; other columns are not read. Texts of any length are encoded whole.
+ids; rows that repeat an id are ordered by a hash of their text, then the text; a null id comes first; an empty table
+writes no rows and reads as none; other columns are not read. Texts of any length are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -23,20 +26,40 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import docs_only, n_buckets, small_batches
+from .common import docs_only, n_tasks, small_batches
 
 #: Words of one generation of a worker's cache.
 CACHE = 400_000
-SCHEMA = "doc_id long, n_tokens long, start_in_file long, tokens array<int>"
+SCHEMA = "doc_id long, n_tokens long, part int, start_in_part long, tokens array<int>"
 #: Row groups of 16 MB keep a writer's buffer and a selective read small; format v2 falls back from dictionary to delta encoding.
 PARQUET = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.page.size": 256 << 10, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20}
 #: Fixed value: the vocabulary's pre-token pattern, for lower-case words of ASCII and Latin-1 letters.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-z0-9à-öø-ÿß]+")
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]{1,48}").fullmatch
+#: The normaliser and the pre-token pattern for which encoding word by word is right.
+NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a vocabulary file has the form that the word cache and its patterns assume."""
+    normaliser, before = (spec.get("normalizer") or {}).get("normalizers"), (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split, level = before[0], before[-1]
+    plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) or not t["content"].startswith("<|") for t in spec["added_tokens"])
+    return (
+        plain
+        and normaliser == NORMALISER
+        and len(before) == 2
+        and (split["type"], split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": PATTERN}, "Removed", True)
+        and (level["type"], level.get("add_prefix_space"), level.get("use_regex")) == ("ByteLevel", False, False)
+        and spec["model"]["type"] == "BPE"
+        and not spec["model"].get("dropout")
+    )
 
 
 class WordEncoder:
@@ -46,6 +69,8 @@ class WordEncoder:
         self.full = Tokenizer.from_file(path)
         self.full.no_truncation()
         self.full.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.by_words = by_words(json.load(f))
         self.symbol = {b: c for c, b in byte_symbols().items()}
         self.code = "H" if self.full.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.type = np.uint16 if self.full.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
@@ -71,6 +96,8 @@ class WordEncoder:
         return got
 
     def encode(self, text: bytes) -> np.ndarray:
+        if not self.by_words:
+            return np.array(self.full.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.type)
         words = text.translate(BLANKS).decode("utf-8", "replace").split(" ")
         got = list(map(self.known.get, words))
         if None in got:
@@ -89,7 +116,7 @@ def load(path: str) -> WordEncoder:
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = load(vocabulary), 0
+        encoder, at, part = load(vocabulary), 0, TaskContext.get().partitionId()
         for batch in small_batches(batches, 2 << 20):
             ids = [np.append(encoder.encode(t or b""), encoder.type(end_id)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             n = np.array([len(x) for x in ids], np.int64)
@@ -97,19 +124,29 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, i
             at += int(n.sum())
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             tokens = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(starts), tokens], ["doc_id", "n_tokens", "start_in_file", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), tokens], ["doc_id", "n_tokens", "part", "start_in_part", "tokens"])
 
-    d = docs_only(docs, id_col, text_col)
-    ordered = d.repartitionByRange(n_buckets(docs.sparkSession, 1), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SCHEMA).write.options(**PARQUET).parquet(path)
+    d = docs_only(docs, id_col, text_col).withColumn("at", F.xxhash64("text"))
+    ordered = d.repartitionByRange(n_tasks(docs.sparkSession), "doc_id", "at").sortWithinPartitions("doc_id", "at", "text")
+    ordered.select("doc_id", "text").mapInArrow(run, SCHEMA).write.options(**PARQUET).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, tokens); ``start`` counts the ids of all documents before."""
-    files = spark.read.schema(SCHEMA).parquet(path).withColumn("file", F.col("_metadata.file_name"))
-    totals = files.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select(F.col("file").alias("of"), F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return files.join(before, F.col("file") == F.col("of")).select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "tokens")
+    return started(spark.read.schema(SCHEMA).parquet(path), spark.read.schema(SCHEMA).parquet(path))
+
+
+def read_selected(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """``read_tokens`` for some ids: the filter reaches the files, whose indexes leave out other row groups and pages."""
+    files = spark.read.schema(SCHEMA).parquet(path)
+    return started(files.where(F.col("doc_id").isin([int(i) for i in ids])), files)
+
+
+def started(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """One row per part is summed up; only ``part`` and ``n_tokens`` are read for that."""
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = totals.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(before, F.col("part") == F.col("of")).select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "tokens")
 
 
 def with_crc(tokens: DataFrame) -> DataFrame:
