@@ -97,6 +97,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, row_number() OVER () AS r FROM documents),
+s AS (SELECT r, doc_id, unnest(range(1, len(words) - 18)) AS p, words FROM d WHERE len(words) >= 20),
+w AS (SELECT r, p, row_number() OVER (PARTITION BY array_to_string(list_slice(words, p, p + 19), ' ') ORDER BY doc_id NULLS FIRST, p) > 1 AS again FROM s),
+g AS (SELECT r, list(p) AS starts FROM w WHERE again GROUP BY r),
+c AS (SELECT r, list_distinct(flatten(list_transform(starts, lambda x: range(x, x + 20)))) AS gone FROM g),
+k AS (SELECT d.doc_id, d.words, coalesce(c.gone, []) AS gone FROM d LEFT JOIN c USING (r))
+SELECT doc_id, len(words)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+  sha256(CASE WHEN len(gone) = 0 THEN array_to_string(words, ' ') ELSE array_to_string(list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]), ' ') END) AS kept_sha256
+FROM k""",
+    "op7_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) < 5 THEN (CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE [array_to_string(w, ' ')] END)
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS shingles FROM d),
+k AS (SELECT r, doc_id, len(shingles) AS n, sha256(array_to_string(list_sort(shingles), chr(10))) AS name, shingles FROM g),
+u AS (SELECT name, any_value(n) AS n, any_value(shingles) AS shingles FROM k WHERE n > 0 GROUP BY name),
+x AS (SELECT name, n, unnest(shingles) AS shingle FROM u),
+p AS (SELECT a.name AS one, b.name AS two FROM x a JOIN x b ON a.shingle = b.shingle AND a.name <> b.name AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+  GROUP BY a.name, b.name HAVING 7 * count(*) >= 3 * (any_value(a.n) + any_value(b.n))),
+l AS (SELECT name AS one, name AS two FROM u UNION SELECT l.one, p.two FROM l JOIN p ON l.two = p.one),
+c AS (SELECT l.one AS name, min(k.doc_id) AS least FROM l JOIN k ON k.name = l.two GROUP BY l.one)
+SELECT k.doc_id, k.n::BIGINT AS n_shingles, CASE WHEN k.n = 0 THEN k.doc_id ELSE coalesce(c.least, k.doc_id) END AS component_id FROM k LEFT JOIN c ON c.name = k.name AND k.n > 0""",
     "op4_exact_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
