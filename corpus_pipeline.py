@@ -1,8 +1,9 @@
 """A training corpus from ``documents``: quality filter, exact and near dedup, source mix, token ids.
 
-Each stage works on all rows its predecessor kept and, but for the last, returns the columns of ``documents``.
-Rows with a null text count as empty; rows that repeat an id and a text share their verdicts; an empty table
-passes through every stage; columns beyond those named ride along.
+Each stage works on all rows its predecessor kept and, but for the last, returns the columns of ``documents``; the last
+gives the token ids themselves, beside their digests. Rows with a null text count as empty; every row is judged on its
+own, whatever its id: of rows that repeat an id and a text one stays, null ids come last; rows that repeat an id share
+their draw in the mix; an empty table passes through every stage; columns beyond those named ride along.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, vocabulary("byte_bpe_50k.json"))
+    return encode_documents(docs, vocabulary("byte_bpe_50k.json"), with_ids=True).drop("decoded")
 
 
 STAGES = [
