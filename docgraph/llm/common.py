@@ -49,7 +49,7 @@ def input_bytes(df: DataFrame) -> int:
 
 def n_buckets(df: DataFrame) -> int:
     """Buckets for packed shuffles of ``df``: a worker holds one at a time, so their number follows the input's bytes."""
-    return max(2 * n_tasks(df.sparkSession), -(-input_bytes(df) // BUCKET))
+    return max(8 * n_tasks(df.sparkSession), -(-input_bytes(df) // BUCKET))
 
 
 def n_tasks(spark: SparkSession) -> int:
