@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
 from .errors import DocgraphError
+from .http_provider import providers_from_env
 from .service import Engine, serve
 from .sources.readers import read_files
 
 
 def main(argv: list[str] | None = None, engine: Engine | None = None, ask=input) -> int:
     args = list(sys.argv[1:] if argv is None else argv)
-    root = "docgraph-store"
+    root = os.environ.get("KG_ROOT", "docgraph-store")
     if "--root" in args:
         i = args.index("--root")
         root = args[i + 1]
@@ -24,7 +26,7 @@ def main(argv: list[str] | None = None, engine: Engine | None = None, ask=input)
     if not words:
         print(__doc__)
         return 0
-    engine = engine or Engine(SparkSession.builder.appName("docgraph").getOrCreate(), root)
+    engine = engine or Engine(SparkSession.builder.appName("docgraph").getOrCreate(), root, **providers_from_env())
     show = lambda x: print(json.dumps(x, indent=2, default=str, ensure_ascii=False))
     try:
         match words[0]:
@@ -43,8 +45,9 @@ def main(argv: list[str] | None = None, engine: Engine | None = None, ask=input)
                 if len(words) < 2:
                     print(__doc__)
                     return 0
-                found = engine.search(" ".join(words[1:]))
-                show({k: v for k, v in found.items() if k != "answer" or "--passages" not in flags})
+                passages = "--passages" in flags  # no model is asked for an answer then
+                found = engine.search(" ".join(words[1:]), with_answer=not passages)
+                show({k: v for k, v in found.items() if k != "answer" or not passages})
             case "chat":
                 while True:
                     try:

@@ -21,7 +21,7 @@ class EngineConfig:
     search_child_k: int = 30
     search_parent_k: int = 5
     fact_limit: int = 40
-    compat_path_ids: bool = True
+    store_partitions: int = 64
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> EngineConfig:

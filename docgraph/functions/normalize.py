@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,24 +14,26 @@ from .text import WS, strip
 
 #: Company suffixes that names lose, as whole words.
 SUFFIXES = ["inc", "llc", "ltd", "limited", "corp", "corporation", "co", "plc", "gmbh", "sa", "nv", "ag"]
-_SUFFIX = r"\b(" + "|".join(SUFFIXES) + r")\b"
+SUFFIX = r"\b(" + "|".join(SUFFIXES) + r")\b"
+#: Patterns that the expressions here and the SQL functions share.
+LABEL_GAP, PREDICATE_GAP, CASE_EDGE = rf"(?U)(?:{WS}|_)+", rf"(?U)(?:{WS}|-)+", "(?<=[a-z])(?=[A-Z])"
 
 
 def label(c: Column) -> Column:
     """Parts between blanks and underscores, each capitalised, joined; blank gives Entity."""
-    parts = F.filter(F.split(strip(c), rf"(?U)(?:{WS}|_)+"), lambda p: p != "")
+    parts = F.filter(F.split(strip(c), LABEL_GAP), lambda p: p != "")
     joined = F.array_join(F.transform(parts, lambda p: F.initcap(p)), "")
     return F.when(strip(c) == "", F.lit("Entity")).otherwise(joined)
 
 
 def predicate(c: Column) -> Column:
     """UPPER_SNAKE_CASE; blank gives RELATED_TO."""
-    snake = F.regexp_replace(F.regexp_replace(strip(c), "(?<=[a-z])(?=[A-Z])", "_"), rf"(?U)(?:{WS}|-)+", "_")
+    snake = F.regexp_replace(F.regexp_replace(strip(c), CASE_EDGE, "_"), PREDICATE_GAP, "_")
     return F.when(strip(c) == "", F.lit("RELATED_TO")).otherwise(F.upper(snake))
 
 
 @F.pandas_udf(T.StringType())
-def _decomposed(names: pd.Series) -> pd.Series:
+def decomposed(names: pd.Series) -> pd.Series:
     """Compatibility decomposition without what is not ASCII; equal names of a batch are folded once."""
     distinct = {n: None if n is None else unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode() for n in names.unique()}
     return names.map(distinct)
@@ -40,13 +42,13 @@ def _decomposed(names: pd.Series) -> pd.Series:
 def ascii_folded(c: Column) -> Column:
     """ASCII names, by far the most, stay in the JVM."""
     plain = ~c.rlike(r"[^\x00-\x7F]")
-    return F.when(plain, c).otherwise(_decomposed(F.when(plain, F.lit(None)).otherwise(c)))
+    return F.when(plain, c).otherwise(decomposed(F.when(plain, F.lit(None)).otherwise(c)))
 
 
 def name(c: Column, folded: bool = False) -> Column:
     """The form of a name that ids are made of. ``folded``: it holds ASCII only."""
     words = F.trim(F.regexp_replace(F.lower(c if folded else ascii_folded(c)), "[^a-z0-9]+", " "))
-    return F.regexp_replace(F.trim(F.regexp_replace(words, _SUFFIX, "")), r"\s+", " ")
+    return F.regexp_replace(F.trim(F.regexp_replace(words, SUFFIX, "")), r"\s+", " ")
 
 
 def entity_id(type_: Column, name_: Column, folded: bool = False) -> Column:
@@ -56,17 +58,5 @@ def entity_id(type_: Column, name_: Column, folded: bool = False) -> Column:
 def py_name(value: str) -> str:
     """``name`` for a single value on the driver."""
     folded = unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode().lower()
-    words = re.sub(_SUFFIX, "", re.sub("[^a-z0-9]+", " ", folded).strip()).strip()
+    words = re.sub(SUFFIX, "", re.sub("[^a-z0-9]+", " ", folded).strip()).strip()
     return re.sub(" +", " ", words)
-
-
-def register(spark: SparkSession) -> None:
-    """SQL functions normalize_label, normalize_predicate, fold_name and cosine_score."""
-    spark.sql(r"""CREATE OR REPLACE TEMPORARY FUNCTION normalize_predicate(x STRING) RETURNS STRING RETURN
-      CASE WHEN trim(x) = '' THEN 'RELATED_TO' ELSE upper(regexp_replace(regexp_replace(trim(x), '(?<=[a-z])(?=[A-Z])', '_'), '(?U)[\\s\\x1C-\\x1F-]+', '_')) END""")
-    spark.sql(r"""CREATE OR REPLACE TEMPORARY FUNCTION normalize_label(x STRING) RETURNS STRING RETURN
-      CASE WHEN trim(x) = '' THEN 'Entity' ELSE array_join(transform(filter(split(trim(x), '(?U)[\\s\\x1C-\\x1F_]+'), p -> p <> ''), p -> initcap(p)), '') END""")
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION cosine_score(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE RETURN
-      (1 + aggregate(zip_with(a, b, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, v) -> s + v)
-        / sqrt(aggregate(a, 0D, (s, v) -> s + CAST(v AS DOUBLE) * v) * aggregate(b, 0D, (s, v) -> s + CAST(v AS DOUBLE) * v))) / 2""")
-    spark.udf.register("fold_name", _decomposed)

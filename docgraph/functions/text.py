@@ -6,10 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\s\x1C-\x1F]"
+#: Patterns that the expressions here and the SQL functions share.
+EDGES, SENTENCE_GAP, PARAGRAPH_GAP = rf"(?U)^{WS}+|{WS}+$", rf"(?U)(?<=[.!?]){WS}+", rf"(?U)\n{WS}*\n"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{WS}+|{WS}+$", "")
+    return F.regexp_replace(c, EDGES, "")
 
 
 def tokens(c: Column) -> Column:
@@ -18,11 +20,11 @@ def tokens(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.split(c, rf"(?U)(?<=[.!?]){WS}+")
+    return F.split(c, SENTENCE_GAP)
 
 
 def paragraphs(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, rf"(?U)\n{WS}*\n"), strip), lambda p: p != "")
+    return F.filter(F.transform(F.split(c, PARAGRAPH_GAP), strip), lambda p: p != "")
 
 
 def preview(c: Column, n: int) -> Column:

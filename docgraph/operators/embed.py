@@ -22,10 +22,14 @@ def checked(embedder: Embedder, texts: list[str]) -> list[list[float]]:
     return vectors
 
 
+EMBEDDED = "child_id string, chunk_id string, text string, seq int, embedding array<float>, error string"
+
+
 def embed_children(children: DataFrame, parents: DataFrame, embedder: Embedder, config: EngineConfig) -> DataFrame:
-    """(child_id, chunk_id, text, seq, embedding). ``parents``: (chunk_id, text, source).
+    """(child_id, chunk_id, text, seq, embedding, error). ``parents``: (chunk_id, text, source).
 
-    What is embedded has the source and the parent's head before it; what is kept is the child's own text.
+    What is embedded has the source and the parent's head before it; what is kept is the child's own text. Children whose
+    request fails have no vector but an error, and can be filled in later; they never fail a job.
     """
     p = parents.select("chunk_id", F.col("text").alias("parent"), F.col("source"))
     asked = children.join(p, "chunk_id").withColumn("asked", contextualized(F.col("text"), F.col("parent"), F.coalesce("source", F.lit("unknown")), config.context_prefix_chars))
@@ -33,7 +37,15 @@ def embed_children(children: DataFrame, parents: DataFrame, embedder: Embedder,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch.pop("asked").tolist()
-            yield batch.assign(embedding=[v for i in range(0, len(texts), size) for v in checked(embedder, texts[i : i + size])])
-
-    return asked.select("child_id", "chunk_id", "text", "seq", "asked").mapInPandas(run, "child_id string, chunk_id string, text string, seq int, embedding array<float>")
+            texts, vectors, errors = batch.pop("asked").tolist(), [], []
+            for i in range(0, len(texts), size):
+                part = texts[i : i + size]
+                try:
+                    vectors += checked(embedder, part)
+                    errors += [None] * len(part)
+                except Exception as e:  # a provider may raise anything
+                    vectors += [None] * len(part)
+                    errors += [f"{type(e).__name__}: {e}"] * len(part)
+            yield batch.assign(embedding=vectors, error=errors)
+
+    return asked.select("child_id", "chunk_id", "text", "seq", "asked").mapInPandas(run, EMBEDDED)

@@ -1,4 +1,4 @@
-"""Graph patterns as joins over (entity_id, name, type) and (src_id, predicate, dst_id, chunk_ids)."""
+"""Graph patterns as joins over (entity_id, name, type) and (src_id, predicate, dst_id)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import TABLES
+
 #: Words that entity matching ignores.
 STOP_WORDS = ["the", "and", "for", "are", "was", "were", "what", "who", "which", "how", "does", "did", "has", "have", "been", "that", "this", "with", "from", "they"]
 
@@ -46,6 +48,13 @@ def page(edges: DataFrame, entities: DataFrame, limit: int = 100, skip: int = 0,
     return endpoints(chosen, entities)
 
 
+def with_chunks(rows: DataFrame, provenance: DataFrame) -> DataFrame:
+    """A page's edges with the sorted ids of the chunks that state them; only a page's lists are ever built."""
+    key = ["src_id", "predicate", "dst_id"]
+    lists = provenance.join(rows.select(key), key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
+    return rows.join(lists, key, "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
+
+
 def nodes_of(rows: DataFrame) -> DataFrame:
     """The distinct ends of a page."""
     ends = F.array(F.struct(F.col("src_id").alias("id"), F.col("source_name").alias("name"), F.col("source_type").alias("type")), F.struct(F.col("dst_id").alias("id"), F.col("target_name").alias("name"), F.col("target_type").alias("type")))
@@ -93,7 +102,7 @@ def question_terms(question: str) -> list[str]:
 
 def match_entities(entities: DataFrame, terms: list[str], each: int = 5) -> DataFrame:
     """(term, position, name, type): up to ``each`` entities whose name contains a term. Terms come from one question."""
-    t = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(x).alias("term")) for i, x in enumerate(terms)]))
+    t = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(x).alias("term")) for i, x in enumerate(terms)]).cast("array<struct<position:int,term:string>>"))
     hits = entities.select("name", "type", "entity_id", t.alias("t")).where(F.contains(F.lower("name"), F.col("t.term"))).select("t.term", "t.position", "name", "type", "entity_id")
     rank = F.row_number().over(Window.partitionBy("position").orderBy("name", "entity_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= each).drop("rank")
@@ -102,7 +111,7 @@ def match_entities(entities: DataFrame, terms: list[str], each: int = 5) -> Data
 def neighbours(edges: DataFrame, entities: DataFrame, names: list[str], each: int = 15) -> DataFrame:
     """(name, source, relationship, target): up to ``each`` facts of each named entity, as directed."""
     named = entities.where(F.col("name").isin(names)).select("entity_id", F.col("name").alias("of"))
-    near = undirected(edges).join(F.broadcast(named) if len(names) <= 100 else named, "entity_id")
+    near = undirected(edges).join(named, "entity_id")
     rows = near.join(entities.select(F.col("entity_id").alias("other_id"), F.col("name").alias("other")), "other_id")
     out = F.col("src_id") == F.col("entity_id")
     rows = rows.select(F.col("of").alias("name"), F.when(out, F.col("of")).otherwise(F.col("other")).alias("source"), F.col("predicate").alias("relationship"), F.when(out, F.col("other")).otherwise(F.col("of")).alias("target"), "src_id", "dst_id")
@@ -133,8 +142,10 @@ def paths(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
 
 
 def catalog(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, name): labels and relationship types of the whole graph, the provenance tiers included."""
+    """(kind, name): labels, relationship types and property keys of the whole graph, the provenance tiers included."""
     spark = entities.sparkSession
-    fixed = spark.createDataFrame([("label", n) for n in ("Document", "Chunk", "ChildChunk", "__Entity__")] + [("relationship", n) for n in ("HAS_CHUNK", "HAS_CHILD", "MENTIONS")], "kind string, name string")
+    keys = sorted({c.split()[0] for n in ("documents", "chunks", "children", "entities", "edges") for c in TABLES[n].split(", ")} | {"chunk_ids"})
+    fixed = [("label", n) for n in ("Document", "Chunk", "ChildChunk", "__Entity__")] + [("relationship", n) for n in ("HAS_CHUNK", "HAS_CHILD", "MENTIONS")]
+    fixed = spark.createDataFrame(fixed + [("property", k) for k in keys], "kind string, name string")
     own = entities.select(F.lit("label").alias("kind"), F.col("type").alias("name")).distinct()
     return fixed.unionAll(own).unionAll(edges.select(F.lit("relationship"), "predicate").distinct()).distinct()

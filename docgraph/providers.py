@@ -62,7 +62,7 @@ class EchoAnswerer:
     """Returns the part of the prompt that an answer would rest on."""
 
     def answer(self, prompt: str) -> str:
-        return prompt.split("### Retrieved passages", 1)[-1].strip()[:500]
+        return prompt.split("\nPASSAGES\n", 1)[-1].strip()[:500]
 
 
 class NeighbourWriter:

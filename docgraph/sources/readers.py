@@ -11,9 +11,8 @@ import csv
 import io
 import json
 from collections.abc import Iterator
-from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +20,8 @@ from ..errors import SourceError
 
 PROSE, TABLES, OBJECTS = (".pdf", ".txt", ".md"), (".csv", ".tsv"), (".json", ".jsonl")
 SUPPORTED = sorted((*PROSE, *TABLES, *OBJECTS))
+#: Bytes of files whose rows a worker holds before it passes them on.
+HELD = 32 << 20
 UNITS = "doc_id string, source_uri string, kind string, text string, records array<string>, error string"
 
 
@@ -81,27 +82,35 @@ def parse(name: str, content: bytes) -> tuple[str, str | None, list[str] | None]
     return "records", None, object_records(raw.replace("\r\n", "\n").replace("\r", "\n"), suffix == ".jsonl")
 
 
-def local_path(uri: str) -> str:
-    """A file URI as the plain path it stands for; other stores' URIs stay."""
-    if uri.startswith("file:"):
-        return "/" + unquote(uri[5:]).lstrip("/")
-    return uri
-
-
 def parsed(files: DataFrame) -> DataFrame:
-    """(doc_id, source_uri, content) to UNITS; a file that cannot be read becomes a row with an error."""
+    """(doc_id, source_uri, content) to UNITS; a file that cannot be read becomes a row with an error.
+
+    Rows go out whenever those held pass ``HELD`` bytes, so a worker's memory follows its largest file, not their number.
+    """
+    types = pa.schema([("doc_id", pa.string()), ("source_uri", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("records", pa.list_(pa.string())), ("error", pa.string())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, uri, content in zip(batch["doc_id"], batch["source_uri"], batch["content"], strict=True):
+            rows, held = [], 0
+            for i in range(batch.num_rows):
+                doc_id, uri, content = (batch.column(k)[i].as_py() for k in range(3))
                 try:
-                    rows.append((doc_id, uri, *parse(uri, bytes(content)), None))
+                    rows.append((doc_id, uri, *parse(uri, content), None))
                 except (SourceError, ValueError, csv.Error) as e:
                     rows.append((doc_id, uri, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "source_uri", "kind", "text", "records", "error"])
+                held += len(content)
+                if held > HELD or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
+                    rows, held = [], 0
 
-    return files.mapInPandas(run, UNITS)
+    return files.select("doc_id", "source_uri", "content").mapInArrow(run, UNITS)
+
+
+def identified(files: DataFrame) -> DataFrame:
+    """(path, content) to (doc_id, source_uri, content): a local file's URI becomes its plain path, whose hash is the id."""
+    decoded = F.when(F.startswith("path", F.lit("file:")), F.concat(F.lit("/"), F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", ""))).otherwise(F.col("path"))
+    uri = files.select(decoded.alias("source_uri"), "content")
+    return uri.select(F.left(F.sha1(F.col("source_uri").cast("binary")), F.lit(24)).alias("doc_id"), "source_uri", "content")
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -112,9 +121,7 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         files = files.select("path", "content")
     except Exception as e:
         raise SourceError(f"File not found: {', '.join(paths)}") from e
-    decoded = F.when(F.startswith("path", F.lit("file:")), F.concat(F.lit("/"), F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", ""))).otherwise(F.col("path"))
-    uri = files.select(decoded.alias("source_uri"), "content")
-    return parsed(uri.select(F.left(F.sha1(F.col("source_uri").cast("binary")), F.lit(24)).alias("doc_id"), "source_uri", "content"))
+    return parsed(identified(files))
 
 
 def read_uploads(spark: SparkSession, uploads: list[tuple[str, bytes]]) -> DataFrame:

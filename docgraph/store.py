@@ -1,33 +1,57 @@
-"""The graph store: snapshot-versioned parquet tables and their upsert policies.
+"""The graph store: partitioned parquet tables behind numbered manifests, and their upsert policies.
 
-``root/<table>/v=<n>`` holds a version's files and ``root/CURRENT`` names the version of every table. An upsert
-merges the current rows with the incoming ones under the table's policy, writes new versions, and then moves the
-pointer in one rename: readers see all of a job's tables or none. Paths go through Hadoop's file systems, so the
-root may lie in any store that Spark writes.
+Rows lie in ``parts`` partitions of each table by a hash of what they belong to: documents, chunks, children and mentions by
+their document, entities by id, edges and their provenance by the source entity. An upsert reads and writes only the
+partitions that its rows touch. Their new files go to ``root/<table>/v=<version>/p=<partition>``, and a manifest
+``root/_manifests/<n>.json`` names the version of every partition of every table: readers see all of a job's tables or none.
 
-Policies: documents, chunks and children take the last row of a key; entities keep the first name and creation
-time; edges keep the first creation time and unite their chunk ids; mentions are distinct. Rows without their
-parent chunk (children, mentions) are left out.
+A commit adds the manifest after the one it was based on, by a rename that fails where that number is taken. The loser
+looks at what the winner changed: other partitions, and it only adds its own versions to the new manifest; one of its
+own, and it merges anew. ``vacuum`` removes old manifests and files that none of the kept ones names. Paths go through
+Hadoop's file systems, so the root may lie in any store that Spark writes.
+
+Policies: documents, chunks and children take the last row of a key; entities and edges keep their first row; mentions and
+provenance (which chunk states which edge, one row each) are distinct. Rows without their parent chunk (children,
+mentions) are left out.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import Unavailable
+from .shared import file_system
+
 TABLES = {
     "documents": "doc_id string, source_uri string, content_hash string, ingested_at timestamp",
     "chunks": "chunk_id string, doc_id string, text string, seq int, content_hash string",
     "children": "child_id string, chunk_id string, text string, seq int, embedding array<float>",
     "entities": "entity_id string, name string, type string, created_at timestamp",
-    "edges": "src_id string, predicate string, dst_id string, chunk_ids array<string>, created_at timestamp",
+    "edges": "src_id string, predicate string, dst_id string, created_at timestamp",
+    "provenance": "src_id string, predicate string, dst_id string, chunk_id string",
     "mentions": "chunk_id string, entity_id string",
     "jobs": "job_id string, status string, filename string, info string, updated_at timestamp",
 }
-KEYS = {"documents": ["doc_id"], "chunks": ["chunk_id"], "children": ["child_id"], "jobs": ["job_id"]}
+KEYS = {
+    "documents": ["doc_id"], "chunks": ["chunk_id"], "children": ["child_id"], "jobs": ["job_id"], "entities": ["entity_id"], "edges": ["src_id", "predicate", "dst_id"],
+    "provenance": ["src_id", "predicate", "dst_id", "chunk_id"], "mentions": ["chunk_id", "entity_id"],
+}
+GRAPH = tuple(n for n in TABLES if n != "jobs")
+EDGE = KEYS["edges"]
+
+
+def owner(name: str) -> Column:
+    """What a row's partition is a hash of; a chunk's id is its document's and a number."""
+    if name in ("children", "mentions"):
+        return F.regexp_replace("chunk_id", ":[0-9]+$", "")
+    return F.col({"documents": "doc_id", "chunks": "doc_id", "entities": "entity_id", "jobs": "job_id"}.get(name, "src_id"))
 
 
 def last_wins(current: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -40,127 +64,241 @@ def last_wins(current: DataFrame, incoming: DataFrame, keys: list[str], order: s
     return last.select(*[F.col(c) if c in keys else F.col(f"r.{c}") for c in columns])
 
 
-def upsert_entities(current: DataFrame, triples: DataFrame, clock) -> DataFrame:
-    """First name wins: of the store, then by chunk and place in its answer, subjects before objects."""
-    t = triples.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("subject_id").alias("entity_id"), F.col("subject_name").alias("name"), F.col("subject_type").alias("type"), F.struct("chunk_id", "seq", F.lit(0).alias("side")).alias("at")),
-                F.struct(F.col("object_id").alias("entity_id"), F.col("object_name").alias("name"), F.col("object_type").alias("type"), F.struct("chunk_id", "seq", F.lit(1).alias("side")).alias("at")),
-            )
-        ).alias("e")
-    ).select("e.*")
-    first = t.groupBy("entity_id").agg(F.min_by(F.struct("name", "type"), "at").alias("r")).select("entity_id", "r.name", "r.type")
-    fresh = first.join(current.select("entity_id"), "entity_id", "left_anti").withColumn("created_at", clock)
+def named_entities(triples: DataFrame) -> DataFrame:
+    """(entity_id, name, type): the first by chunk and place in its answer, subjects before objects."""
+    side = lambda s, k: F.struct(F.col(f"{s}_id").alias("entity_id"), F.col(f"{s}_name").alias("name"), F.col(f"{s}_type").alias("type"), F.struct("chunk_id", "seq", F.lit(k).alias("side")).alias("at"))
+    t = triples.select(F.explode(F.array(side("subject", 0), side("object", 1))).alias("e")).select("e.*")
+    return t.groupBy("entity_id").agg(F.min_by(F.struct("name", "type"), "at").alias("r")).select("entity_id", "r.name", "r.type")
+
+
+def upsert_entities(current: DataFrame, triples: DataFrame, clock: Column) -> DataFrame:
+    """First name wins: the store's, then that of ``named_entities``."""
+    fresh = named_entities(triples).join(current.select("entity_id"), "entity_id", "left_anti").withColumn("created_at", clock)
     return current.unionByName(fresh)
 
 
-def upsert_edges(current: DataFrame, triples: DataFrame, clock) -> DataFrame:
-    new = triples.select(F.col("subject_id").alias("src_id"), "predicate", F.col("object_id").alias("dst_id"), "chunk_id", clock.alias("created_at"))
-    old = current.select("src_id", "predicate", "dst_id", F.explode_outer("chunk_ids").alias("chunk_id"), "created_at")
-    united = old.unionByName(new).groupBy("src_id", "predicate", "dst_id")
-    return united.agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), F.min("created_at").alias("created_at"))
+def edge_rows(triples: DataFrame) -> DataFrame:
+    return triples.select(F.col("subject_id").alias("src_id"), "predicate", F.col("object_id").alias("dst_id"), "chunk_id").distinct()
+
+
+def upsert_edges(current: DataFrame, triples: DataFrame, clock: Column) -> DataFrame:
+    fresh = edge_rows(triples).select(EDGE).distinct().join(current.select(EDGE), EDGE, "left_anti").withColumn("created_at", clock)
+    return current.unionByName(fresh)
+
+
+def upsert_provenance(current: DataFrame, triples: DataFrame) -> DataFrame:
+    return current.unionByName(edge_rows(triples)).distinct()
+
+
+def mention_rows(triples: DataFrame) -> DataFrame:
+    return triples.select("chunk_id", F.explode(F.array("subject_id", "object_id")).alias("entity_id"))
 
 
 def upsert_mentions(current: DataFrame, triples: DataFrame, chunks: DataFrame) -> DataFrame:
-    new = triples.select("chunk_id", F.explode(F.array("subject_id", "object_id")).alias("entity_id"))
-    return current.unionByName(new.join(chunks.select("chunk_id"), "chunk_id", "left_semi")).distinct()
+    return current.unionByName(mention_rows(triples).join(chunks.select("chunk_id"), "chunk_id", "left_semi")).distinct()
 
 
 def upsert_children(current: DataFrame, incoming: DataFrame, chunks: DataFrame) -> DataFrame:
     return last_wins(current, incoming.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), KEYS["children"])
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """The tables of one manifest."""
+
+    store: GraphStore
+    number: int
+    parts: int
+    tables: dict[str, dict[str, str]]  # table -> partition -> version
+
+    def table(self, name: str, places: set[int] | None = None) -> DataFrame:
+        """All rows, or those of some partitions."""
+        have = self.tables.get(name, {})
+        paths = [f"{self.store.root}/{name}/v={v}/p={p}" for p, v in sorted(have.items()) if places is None or int(p) in places]
+        if not paths:
+            return self.store.spark.createDataFrame([], TABLES[name])
+        return self.store.spark.read.schema(TABLES[name]).parquet(*paths)
+
+    def place(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(owner(name)), F.lit(self.parts)).cast("int")
+
+    def touched(self, name: str, rows: DataFrame) -> set[int]:
+        """The partitions of ``rows``: at most ``parts`` numbers."""
+        return {r[0] for r in rows.select(self.place(name).alias("p")).distinct().collect()}
+
+
+#: What a commit writes: the rows of some partitions of a table, in whole.
+Change = dict[str, tuple[DataFrame, set[int]]]
+
+
 class GraphStore:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, parts: int = 64) -> None:
+        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
         self._jvm = spark._jvm
 
-    def _fs(self, path: str):
-        p = self._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def _list(self, path: str) -> list[tuple[str, int]]:
+        """(name, time of change) of what lies in a folder."""
+        fs, p = file_system(self.spark, path)
+        return [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _delete(self, path: str) -> None:
+        fs, p = file_system(self.spark, path)
+        fs.delete(p, True)
+
+    # --- manifests ----------------------------------------------------------
+
+    def _manifests(self) -> list[int]:
+        return sorted(int(n.split(".")[0]) for n, _ in self._list(f"{self.root}/_manifests") if n[0].isdigit())
 
-    def versions(self) -> dict[str, str]:
-        fs, p = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(p):
-            return {}
+    def _read(self, number: int) -> Snapshot:
+        fs, p = file_system(self.spark, f"{self.root}/_manifests/{number:020d}.json")
         stream = fs.open(p)
         try:
-            return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+            found = json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
+        return Snapshot(self, number, found["parts"], found["tables"])
 
-    def _point(self, versions: dict[str, str]) -> None:
-        fs, tmp = self._fs(f"{self.root}/CURRENT.{uuid.uuid4().hex}")
+    def snapshot(self) -> Snapshot:
+        numbers = self._manifests()
+        return self._read(numbers[-1]) if numbers else Snapshot(self, 0, self.parts, {})
+
+    def table(self, name: str) -> DataFrame:
+        return self.snapshot().table(name)
+
+    def _publish(self, number: int, parts: int, tables: dict) -> bool:
+        """Add a manifest; false if the number is taken."""
+        fs, tmp = file_system(self.spark, f"{self.root}/_manifests/_{uuid.uuid4().hex}")
         out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(versions).encode()))
+        out.write(bytearray(json.dumps({"parts": parts, "tables": tables}).encode()))
         out.close()
-        _, p = self._fs(f"{self.root}/CURRENT")
+        _, p = file_system(self.spark, f"{self.root}/_manifests/{number:020d}.json")
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration())
-        option = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        option[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fs.makeQualified(tmp), fs.makeQualified(p), option)
+        try:
+            context.rename(fs.makeQualified(tmp), fs.makeQualified(p), self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+        except Exception as e:
+            fs.delete(tmp, False)
+            if "FileAlreadyExistsException" in str(e):
+                return False
+            raise
 
-    def table(self, name: str) -> DataFrame:
-        version = self.versions().get(name)
-        if version is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v={version}")
-
-    def commit(self, changed: dict[str, DataFrame]) -> None:
-        """Write the changed tables as new versions and move the pointer once."""
-        versions = self.versions()
-        for name, df in changed.items():
-            version = uuid.uuid4().hex
-            df.write.parquet(f"{self.root}/{name}/v={version}")
-            versions[name] = version
-        self._point(versions)
+    def commit(self, change: Callable[[Snapshot], Change], attempts: int = 20) -> None:
+        """Write what ``change`` makes of the current snapshot, and publish it; anew if another commit got in between."""
+        for _ in range(attempts):
+            base = self.snapshot()
+            version = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex}"
+            mine: dict[str, dict[int, bool]] = {}
+            for name, (rows, places) in change(base).items():
+                path = f"{self.root}/{name}/v={version}"
+                rows.withColumn("p", base.place(name)).repartition("p").write.partitionBy("p").parquet(path)
+                there = {int(n[2:]) for n, _ in self._list(path) if n.startswith("p=")}
+                mine[name] = {p: p in there for p in places | there}
+            while True:
+                head = self.snapshot()
+                same = all(head.tables.get(n, {}).get(str(p)) == base.tables.get(n, {}).get(str(p)) for n, ps in mine.items() for p in ps)
+                if not same:
+                    for name in mine:
+                        self._delete(f"{self.root}/{name}/v={version}")
+                    break
+                tables = {n: dict(head.tables.get(n, {})) for n in TABLES}
+                for name, places in mine.items():
+                    for p, there in places.items():
+                        tables[name].pop(str(p), None)
+                        if there:
+                            tables[name][str(p)] = version
+                if self._publish(head.number + 1, base.parts, tables):
+                    return
+        raise Unavailable(f"other commits got in between {attempts} times")
+
+    def vacuum(self, keep: int = 3, older_than: float = 3600.0) -> int:
+        """Remove all but the last ``keep`` manifests, and files that none of those names and that are old enough to belong to no running commit."""
+        numbers, gone = self._manifests(), 0
+        named = {(n, v) for k in numbers[-keep:] for n, ps in self._read(k).tables.items() for v in ps.values()}
+        for k in numbers[:-keep]:
+            self._delete(f"{self.root}/_manifests/{k:020d}.json")
+        for name in TABLES:
+            for folder, changed in self._list(f"{self.root}/{name}"):
+                if folder.startswith("v=") and (name, folder[2:]) not in named and changed < (time.time() - older_than) * 1000:
+                    self._delete(f"{self.root}/{name}/{folder}")
+                    gone += 1
+        return gone
+
+    # --- writing ------------------------------------------------------------
 
     def setup(self) -> None:
         """Create what is missing; safe to repeat."""
-        have = self.versions()
-        missing = {n: self.spark.createDataFrame([], s) for n, s in TABLES.items() if n not in have}
-        if missing:
-            self.commit(missing)
+        if not self._manifests():
+            self._publish(1, self.parts, {n: {} for n in TABLES})
 
     def duplicates(self, name: str) -> DataFrame:
         """Keys that break uniqueness: none."""
-        keys = KEYS.get(name) or {"entities": ["entity_id"], "edges": ["src_id", "predicate", "dst_id"], "mentions": ["chunk_id", "entity_id"]}[name]
-        return self.table(name).groupBy(*keys).count().where("count > 1")
+        return self.table(name).groupBy(*KEYS[name]).count().where("count > 1")
 
     def write_documents(self, docs: DataFrame, chunks: DataFrame, prune: bool = False) -> None:
-        """Upsert documents and chunks together. ``prune`` drops chunks that a document no longer has."""
-        current = self.table("chunks")
-        if prune:
-            stale = current.join(docs.select("doc_id"), "doc_id", "left_semi").join(chunks.select("chunk_id"), "chunk_id", "left_anti")
-            current = current.join(stale.select("chunk_id"), "chunk_id", "left_anti").select(current.columns)
-        self.commit({"documents": last_wins(self.table("documents"), docs, KEYS["documents"], "ingested_at"), "chunks": last_wins(current, chunks, KEYS["chunks"])})
+        """Upsert documents and chunks together. ``prune`` drops chunks that a document no longer has, and all that hangs on them."""
+
+        def change(now: Snapshot) -> Change:
+            at = now.touched("documents", docs)
+            current, out = now.table("chunks", at), {"documents": (last_wins(now.table("documents", at), docs, KEYS["documents"], "ingested_at"), at)}
+            if prune:
+                stale = current.join(docs.select("doc_id"), "doc_id", "left_semi").join(chunks.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id")
+                current = current.join(stale, "chunk_id", "left_anti").select(current.columns)
+                for name in ("children", "mentions"):
+                    rows = now.table(name, at)
+                    out[name] = (rows.join(stale, "chunk_id", "left_anti").select(rows.columns), at)
+                said = now.table("provenance")
+                hit = now.touched("provenance", said.join(stale, "chunk_id", "left_semi"))
+                if hit:
+                    rows = now.table("provenance", hit)
+                    out["provenance"] = (rows.join(stale, "chunk_id", "left_anti").select(rows.columns), hit)
+            out["chunks"] = (last_wins(current, chunks, KEYS["chunks"]), at)
+            return out
+
+        self.commit(change)
 
     def write_children(self, rows: DataFrame) -> None:
-        self.commit({"children": upsert_children(self.table("children"), rows, self.table("chunks"))})
+        def change(now: Snapshot) -> Change:
+            at = now.touched("children", rows)
+            return {"children": (upsert_children(now.table("children", at), rows, now.table("chunks", at)), at)}
+
+        self.commit(change)
 
-    def write_triples(self, triples: DataFrame, clock=None) -> None:
+    def write_triples(self, triples: DataFrame, clock: Column | None = None) -> None:
         clock = F.current_timestamp() if clock is None else clock
-        self.commit(
-            {
-                "entities": upsert_entities(self.table("entities"), triples, clock),
-                "edges": upsert_edges(self.table("edges"), triples, clock),
-                "mentions": upsert_mentions(self.table("mentions"), triples, self.table("chunks")),
+
+        def change(now: Snapshot) -> Change:
+            ends, edges = now.touched("entities", mention_rows(triples)), now.touched("edges", edge_rows(triples))
+            chunks = now.touched("mentions", triples)
+            return {
+                "entities": (upsert_entities(now.table("entities", ends), triples, clock), ends),
+                "edges": (upsert_edges(now.table("edges", edges), triples, clock), edges),
+                "provenance": (upsert_provenance(now.table("provenance", edges), triples), edges),
+                "mentions": (upsert_mentions(now.table("mentions", chunks), triples, now.table("chunks", chunks)), chunks),
             }
-        )
+
+        self.commit(change)
+
+    def write_job(self, row: DataFrame) -> None:
+        def change(now: Snapshot) -> Change:
+            at = now.touched("jobs", row)
+            return {"jobs": (last_wins(now.table("jobs", at), row, KEYS["jobs"]), at)}
+
+        self.commit(change)
 
     def wipe(self) -> int:
         """Swap to empty tables; returns the nodes that were there."""
-        names = ("documents", "chunks", "children", "entities")
-        total = sum(self.table(n).count() for n in names)
-        self.commit({n: self.spark.createDataFrame([], TABLES[n]) for n in (*names, "edges", "mentions")})
+        now = self.snapshot()
+        total = sum(now.table(n).count() for n in ("documents", "chunks", "children", "entities"))
+        while not self._publish(now.number + 1, now.parts, {n: now.tables.get(n, {}) if n == "jobs" else {} for n in TABLES}):
+            now = self.snapshot()
         return total
 
     def views(self) -> None:
         """Temporary views kg_<table> for queries, and kg_facts with names in place of ids."""
         from .operators.graph import facts
 
-        for n in TABLES:
-            if n != "jobs":
-                self.table(n).createOrReplaceTempView(f"kg_{n}")
-        facts(self.table("edges"), self.table("entities")).createOrReplaceTempView("kg_facts")
+        now = self.snapshot()
+        for n in GRAPH:
+            now.table(n).createOrReplaceTempView(f"kg_{n}")
+        facts(now.table("edges"), now.table("entities")).createOrReplaceTempView("kg_facts")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import chunking
 from ..service import Engine
-from ..sources.readers import parsed
+from ..sources.readers import identified, parsed
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -19,10 +19,10 @@ SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 def watch(engine: Engine, folder: str, checkpoint: str, available_now: bool = False, files_per_batch: int = 1000) -> StreamingQuery:
     """Ingest files as they appear; files that cannot be read or hold no usable text are listed in ``<root>/_rejected``."""
     stream = engine.spark.readStream.format("binaryFile").schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(folder)
-    files = stream.select(F.left(F.sha1(F.col("path").cast("binary")), F.lit(24)).alias("doc_id"), F.col("path").alias("source_uri"), "content")
+    files = identified(stream.select("path", "content"))  # the same ids as a batch read of these files
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        units = parsed(batch)
+        units = engine.staged(parsed(batch), "stream")
         read = units.where(F.col("error").isNull())
         good = read.join(chunking.chunk_documents(read, engine.config).select("doc_id"), "doc_id", "left_semi").select(units.columns)
         bare = read.join(good.select("doc_id"), "doc_id", "left_anti").select("source_uri", F.lit("No usable text").alias("error"))
@@ -30,6 +30,7 @@ def watch(engine: Engine, folder: str, checkpoint: str, available_now: bool = Fa
         rejected.write.mode("overwrite").parquet(f"{engine.store.root}/_rejected/batch={batch_id}")
         if not good.isEmpty():
             engine.ingest(good)
+        engine.unstage(units)
 
     writer = stream_writer(files, upsert, checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

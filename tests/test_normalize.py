@@ -4,6 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgraph.functions import normalize
+from docgraph.functions.sql import register
+from docgraph.functions.text import strip
+from docgraph.functions.vectors import cosine_score
+from docgraph.operators import chunking
 from docgraph.plans import catalog
 
 IDS = [
@@ -41,15 +45,28 @@ def test_labels_and_predicates(spark, function, pairs):
     assert {r[0]: r[1] for r in df.select("value", function(F.col("value"))).collect()} == pairs
 
 
-def test_sql_functions(spark):
-    normalize.register(spark)
-    row = spark.sql("SELECT normalize_predicate('worksAt') AS p, normalize_label('drug product') AS l, cosine_score(array(1f, 0f), array(1f, 0f)) AS c").first()
-    assert tuple(row) == ("WORKS_AT", "DrugProduct", 1.0)
+NASTY = ["", "  ", "\n works at \n", "\u00a0drug\u2003product\x1c", "_a_", "worksAt", "x - y", "José Ñuñez Inc", None, "A. b! c? d.  E", "p one.\n\nq two. " + "r " * 1500 + "\n \n" + "s" * 400, "a: 1\n---\nb: 2 " + "t " * 300, "word " * 700]
+
+
+def test_sql_functions_equal_the_expressions(spark):
+    register(spark)
+    df = spark.createDataFrame([(x,) for x in NASTY], "x string")
+    pairs = {
+        "normalize_label(x)": normalize.label(F.col("x")), "normalize_predicate(x)": normalize.predicate(F.col("x")), "normalize_name(x)": normalize.name(F.col("x")),
+        "entity_id('City', x)": normalize.entity_id(F.lit("City"), F.col("x")), "make_children(x)": chunking.make_children(F.col("x"), 300),
+        "chunk_document(x)": F.filter(F.transform(chunking.pack_paragraphs(F.col("x"), 2000, 200), strip), lambda p: F.length(p) >= 120),
+    }
+    for sql, column in pairs.items():
+        rows = df.select("x", F.expr(sql).alias("got"), column.alias("want")).collect()
+        assert [(r["x"], r["got"]) for r in rows] == [(r["x"], r["want"]) for r in rows], sql
+    vectors = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 0.0]), ([1.0, None], [1.0, 1.0]), (None, [1.0]), ([1.0, 2.0], [-2.0, 1.0])], "a array<float>, b array<float>")
+    rows = vectors.select(F.expr("cosine_score(a, b)").alias("got"), cosine_score(F.col("a"), F.col("b")).alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows] and rows[0]["got"] == 1.0 and rows[1]["got"] is None
 
 
 def test_every_name_gets_an_id(spark, tmp_path):
     for t, c, name in (("documents", "text", "Straße weiß\tx"), ("part", "p_name", "ßpart"), ("customer", "c_name", "c"), ("supplier", "s_name", "s")):
         spark.createDataFrame([(name,)], f"{c} string").write.parquet(f"{tmp_path}/{t}.parquet")
-    got = {(r["type"], r["name"]): r["entity_id"] for r in catalog.entity_ids_all_names(spark, str(tmp_path)).collect()}
+    got = {(r["type"], r["name"]): r["entity_id"] for r in catalog.entity_ids(spark, str(tmp_path)).collect()}
     names = [("Word", "Straße"), ("Word", "weiß"), ("Word", "x"), ("Part", "ßpart"), ("Customer", "c"), ("Supplier", "s")]
     assert got == {(t, n): hashlib.sha1(f"{t}|{normalize.py_name(n)}".encode()).hexdigest()[:24] for t, n in names}
