@@ -76,9 +76,20 @@ def triples(parsed: DataFrame) -> DataFrame:
 
 
 def identified(named: DataFrame) -> DataFrame:
-    """Adds subject_id and object_id."""
-    ident = lambda side: normalize.entity_id(F.col(f"{side}_type"), F.col(f"{side}_name")).alias(f"{side}_id")
-    return named.select(*named.columns, ident("subject"), ident("object"))
+    """Adds subject_id and object_id. Names are folded once each: there are far fewer of them than triples.
+
+    Only names that are not ASCII pass through Python.
+    """
+    ends = F.array(*[F.struct(F.col(f"{s}_type").alias("type"), F.col(f"{s}_name").alias("name")) for s in ("subject", "object")])
+    names = named.select(F.explode(ends).alias("e")).select("e.*").distinct()
+    plain = ~F.col("name").rlike(r"[^\x00-\x7F]")
+    ident = lambda folded: normalize.entity_id(F.col("type"), F.col("name"), folded).alias("id")
+    ids = names.where(plain).select("type", "name", ident(True)).unionAll(names.where(~plain).select("type", "name", ident(False)))
+    out = named
+    for s in ("subject", "object"):
+        of = ids.select(F.col("type").alias(f"{s}_type"), F.col("name").alias(f"{s}_name"), F.col("id").alias(f"{s}_id"))
+        out = out.join(of, [f"{s}_type", f"{s}_name"])
+    return out.select(*named.columns, "subject_id", "object_id")
 
 
 def counters(parsed: DataFrame) -> DataFrame:

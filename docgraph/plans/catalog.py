@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,8 @@ from ..functions.text import preview, sentences
 from ..functions.vectors import cosine_score
 from ..operators import chunking, extract, graph, search
 from ..sources.readers import record_text
-from ..store import last_wins, upsert_children, upsert_edges, upsert_entities, upsert_mentions
+from ..shared import written
+from ..store import TABLES, last_wins, upsert_children, upsert_edges, upsert_entities, upsert_mentions, upsert_provenance
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,18 +103,28 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Graph:
-    """The derived graph, through the store's own upsert policies."""
+    """The derived graph, through the store's own upsert policies; the triples are made once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        none = lambda s: spark.createDataFrame([], s)
-        clock = F.lit("2020-01-01").cast("timestamp")
-        t = triples(spark, sf_dir)
-        distinct = t.dropDuplicates(["subject_id", "subject_name", "predicate", "object_id", "object_name", "chunk_id"])
-        self.triples = t
-        self.entities = upsert_entities(none("entity_id string, name string, type string, created_at timestamp"), distinct, clock).drop("created_at")
-        self.edges = upsert_edges(none("src_id string, predicate string, dst_id string, chunk_ids array<string>, created_at timestamp"), t, clock).drop("created_at")
-        chunks = t.select("chunk_id").distinct()
-        self.mentions = upsert_mentions(none("chunk_id string, entity_id string"), t, chunks)
+        self._none = lambda s: spark.createDataFrame([], TABLES[s])
+        self._clock = F.lit("2020-01-01").cast("timestamp")
+        self.triples = written(triples(spark, sf_dir), "triples")
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        return upsert_entities(self._none("entities"), self.triples, self._clock).drop("created_at")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return upsert_edges(self._none("edges"), self.triples, self._clock).drop("created_at")
+
+    @cached_property
+    def provenance(self) -> DataFrame:
+        return upsert_provenance(self._none("provenance"), self.triples)
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        return upsert_mentions(self._none("mentions"), self.triples, self.triples.select("chunk_id").distinct())
 
 
 # --- search -------------------------------------------------------------------
@@ -145,11 +157,11 @@ def search_parents(spark, sf_dir):
 
 
 @query(f"""WITH {HITS} SELECT p.chunk_id, d.text, s.source, round(p.score, 6) AS score, p.matched_children FROM p JOIN documents d ON d.doc_id = p.chunk_id
-  LEFT JOIN (SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0) s ON s.doc_id = p.chunk_id""")
+  LEFT JOIN documents s ON s.doc_id = p.chunk_id""")
 def search_with_source(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
-    sources = docs.where("doc_id % 2 = 0").select("doc_id", F.col("source").alias("source_uri"))
+    sources = docs.select("doc_id", F.col("source").alias("source_uri"))
     found = search.passages(children_table(spark, sf_dir), chunks, sources, query_vector(spark, sf_dir), 30, 5)
     return found.select("chunk_id", "text", "source", F.round("score", 6).alias("score"), "matched_children")
 
@@ -248,9 +260,15 @@ def chunk_stats(spark, sf_dir):
     return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.sha1(F.array_join(ordered, "").cast("binary")).alias("content_hash"))
 
 
-@query(r"SELECT doc_id, source || ' | ' || array_to_string(list_filter(regexp_split_to_array(left(text, 160), '\s+'), lambda w: w <> ''), ' ') || chr(10) || right(text, 40) AS asked FROM documents")
+_CHILDREN = fold(_UNITS, 300, long=_inner(WORDS.format(t="e.b"), 300))
+
+
+@query(rf"""WITH f AS (SELECT doc_id, text, source, {_CHILDREN} AS s FROM documents), l AS (SELECT doc_id, text, source, {CLOSED} AS parts FROM f),
+u AS (SELECT doc_id, source, text, unnest(parts) AS child, unnest(range(len(parts)))::INTEGER AS seq FROM l)
+SELECT doc_id, seq, sha1(source || ' | ' || array_to_string(list_filter(regexp_split_to_array(left(text, 160), '\s+'), lambda w: w <> ''), ' ') || chr(10) || child) AS asked FROM u""")
 def contextualize_child(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", chunking.contextualized(F.right("text", F.lit(40)), F.col("text"), F.col("source"), 160).alias("asked"))
+    kids = read(spark, sf_dir, "documents").select("doc_id", "text", "source", F.posexplode(chunking.make_children(F.col("text"), 300)).alias("seq", "child"))
+    return kids.select("doc_id", "seq", F.sha1(chunking.contextualized(F.col("child"), F.col("text"), F.col("source"), 160).cast("binary")).alias("asked"))
 
 
 @query("SELECT doc_id, left(replace(text, chr(10), ' '), 110) AS preview FROM documents")
@@ -264,24 +282,17 @@ def passage_preview(spark, sf_dir):
 @query(f"""
 WITH n AS (SELECT 'Part' AS type, p_name AS name FROM part UNION SELECT 'Customer', c_name FROM customer UNION SELECT 'Supplier', s_name FROM supplier
   UNION SELECT 'Word', unnest(string_split(regexp_replace(text, '[^\\S ]', ' ', 'g'), ' ')) FROM documents)
-SELECT type, name, {id_sql("type", "name")} AS entity_id FROM n WHERE name <> '' AND NOT contains(name, 'ß')""")
+SELECT type, name, {id_sql("type", "name")} AS entity_id FROM n WHERE name <> ''""")
 def entity_ids(spark, sf_dir):
-    return _identified_names(spark, sf_dir).where(~F.contains("name", F.lit("ß")))
-
-
-@query(ORACLE["entity_ids"].replace(" AND NOT contains(name, 'ß')", ""))
-def entity_ids_all_names(spark, sf_dir):
-    return _identified_names(spark, sf_dir)
-
-
-def _identified_names(spark, sf_dir) -> DataFrame:
     words = read(spark, sf_dir, "documents").select(F.lit("Word").alias("type"), F.explode(F.split(F.regexp_replace("text", r"[^\S ]", " "), " ")).alias("name"))
     named = [(t, f"{t[0].lower()}_name") for t in ("Part", "Customer", "Supplier")]
     all_ = words
     for t, c in named:
         all_ = all_.unionAll(read(spark, sf_dir, t.lower()).select(F.lit(t), c))
-    n = all_.where(F.col("name") != "").distinct()
-    return n.select("type", "name", normalize.entity_id(F.col("type"), F.col("name")).alias("entity_id"))
+    n = all_.where(F.col("name") != "").select("type", "name").distinct()
+    plain = ~F.col("name").rlike(r"[^\x00-\x7F]")  # the others alone pass through Python
+    ident = lambda folded: normalize.entity_id(F.col("type"), F.col("name"), folded).alias("entity_id")
+    return n.where(plain).select("type", "name", ident(True)).unionAll(n.where(~plain).select("type", "name", ident(False)))
 
 
 @query("""
@@ -360,24 +371,25 @@ def upsert_entities_first_wins(spark, sf_dir):
 @query(f"WITH {GRAPH} SELECT src_id, predicate, dst_id, len(chunk_ids)::INTEGER AS chunks, sha1(array_to_string(chunk_ids, ',')) AS provenance FROM edges")
 def upsert_edges_provenance(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    again = upsert_edges(g.edges.withColumn("created_at", F.lit(None).cast("timestamp")), g.triples, F.lit(None).cast("timestamp"))
-    return again.select("src_id", "predicate", "dst_id", F.size("chunk_ids").alias("chunks"), F.sha1(F.array_join("chunk_ids", ",").cast("binary")).alias("provenance"))
+    again = upsert_provenance(g.provenance, g.triples)  # twice is once
+    lists = again.groupBy("src_id", "predicate", "dst_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+    return lists.select("src_id", "predicate", "dst_id", F.size("chunk_ids").alias("chunks"), F.sha1(F.array_join("chunk_ids", ",").cast("binary")).alias("provenance"))
 
 
 @query("""
-WITH b AS (SELECT doc_id, source AS source_uri, sha1(text) AS content_hash, 0 AS ord FROM documents UNION ALL SELECT doc_id, upper(source), sha1(lower(text)), 1 FROM documents WHERE doc_id % 3 = 0)
+WITH b AS (SELECT doc_id, source AS source_uri, sha1(text) AS content_hash, 0 AS ord FROM documents UNION ALL SELECT doc_id, upper(source), sha1(lower(text)), 1 FROM documents)
 SELECT doc_id, arg_max(source_uri, ord) AS source_uri, arg_max(content_hash, ord) AS content_hash FROM b GROUP BY doc_id""")
 def upsert_documents_last_wins(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     first = d.select("doc_id", F.col("source").alias("source_uri"), F.sha1(F.col("text").cast("binary")).alias("content_hash"))
-    second = d.where("doc_id % 3 = 0").select("doc_id", F.upper("source").alias("source_uri"), F.sha1(F.lower("text").cast("binary")).alias("content_hash"))
+    second = d.select("doc_id", F.upper("source").alias("source_uri"), F.sha1(F.lower("text").cast("binary")).alias("content_hash"))
     return last_wins(first, second, ["doc_id"])
 
 
-@query("SELECT vec_id AS child_id, vec_id // 4 AS chunk_id, len(embedding)::INTEGER AS width FROM embeddings WHERE vec_id // 4 IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT vec_id AS child_id, vec_id // 4 AS chunk_id, len(embedding)::INTEGER AS width FROM embeddings WHERE vec_id // 4 IN (SELECT doc_id FROM labels)")
 def upsert_children_of_known_chunks(spark, sf_dir):
     kids = children_table(spark, sf_dir)
-    chunks = read(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("chunk_id"))
+    chunks = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"))  # only some documents have labels
     return upsert_children(kids.limit(0), kids, chunks).select("child_id", "chunk_id", F.size("embedding").alias("width"))
 
 
@@ -392,12 +404,11 @@ def mentions_distinct(spark, sf_dir):
 
 
 @query(f"""WITH {GRAPH} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(DISTINCT chunk_id) FROM t) AS chunks, (SELECT count(*) FROM embeddings) AS children,
-  (SELECT count(*) FROM embeddings WHERE vec_id % 5 <> 0) AS embedded, (SELECT count(*) FROM entities) + 2 AS entities, (SELECT count(*) FROM edges) AS relationships, 2 AS orphans""")
+  (SELECT count(embedding) FROM embeddings) AS embedded, (SELECT count(*) FROM entities) + 2 AS entities, (SELECT count(*) FROM edges) AS relationships, 2 AS orphans""")
 def stats_summary(spark, sf_dir):
     g = Graph(spark, sf_dir)
     lone = spark.createDataFrame([("lone-1", "Lone One", "Entity"), ("lone-2", "Lone Two", "Entity")], "entity_id string, name string, type string")
-    kids = children_table(spark, sf_dir).withColumn("embedding", F.when(F.col("child_id") % 5 != 0, F.col("embedding")))
-    return graph.stats(read(spark, sf_dir, "documents"), g.triples.select("chunk_id").distinct(), kids, g.entities.unionByName(lone), g.edges, g.mentions)
+    return graph.stats(read(spark, sf_dir, "documents"), g.triples.select("chunk_id").distinct(), children_table(spark, sf_dir), g.entities.unionByName(lone), g.edges, g.mentions)
 
 
 @query(f"WITH {GRAPH} SELECT predicate AS relationship, count(*) AS count FROM edges GROUP BY predicate")
@@ -411,12 +422,12 @@ def orphans(spark, sf_dir):
     return graph.orphans(g.entities, g.edges.where("predicate = 'LOCATED_IN'"), g.mentions.limit(0)).select("entity_id", "name")
 
 
-@query("""SELECT d.doc_id AS chunk_id, left(d.text, 40) AS head, s.source FROM documents d LEFT JOIN (SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0) s USING (doc_id)
+@query("""SELECT d.doc_id AS chunk_id, left(d.text, 40) AS head, s.source AS source FROM documents d LEFT JOIN documents s USING (doc_id)
   WHERE d.doc_id NOT IN (SELECT vec_id // 4 FROM embeddings)""")
 def chunks_without_children(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     chunks = d.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
-    sources = d.where("doc_id % 2 = 0").select("doc_id", F.col("source").alias("source_uri"))
+    sources = d.select("doc_id", F.col("source").alias("source_uri"))
     return graph.chunks_without_children(chunks, children_table(spark, sf_dir), sources).select("chunk_id", F.left("text", F.lit(40)).alias("head"), "source")
 
 
@@ -424,20 +435,20 @@ _PAGE = """SELECT e.src_id, s.name AS source_name, s.type AS source_type, e.pred
   FROM (SELECT * FROM edges {where} ORDER BY src_id, predicate, dst_id LIMIT {limit} OFFSET {skip}) e JOIN entities s ON s.entity_id = e.src_id JOIN entities o ON o.entity_id = e.dst_id"""
 
 
-def _page(rows: DataFrame) -> DataFrame:
-    return rows.select("src_id", "source_name", "source_type", "predicate", "dst_id", "target_name", "target_type", F.size("chunk_ids").alias("chunks"))
+def _page(rows: DataFrame, g: Graph) -> DataFrame:
+    return graph.with_chunks(rows, g.provenance).select("src_id", "source_name", "source_type", "predicate", "dst_id", "target_name", "target_type", F.size("chunk_ids").alias("chunks"))
 
 
 @query(f"WITH {GRAPH} " + _PAGE.format(where="", limit=100, skip=50))
 def graph_page(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return _page(graph.page(g.edges, g.entities, 100, 50))
+    return _page(graph.page(g.edges, g.entities, 100, 50), g)
 
 
 @query(f"WITH {GRAPH} " + _PAGE.format(where="WHERE src_id IN (SELECT entity_id FROM entities WHERE type = 'Supplier')", limit=60, skip=5))
 def graph_page_by_type(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return _page(graph.page(g.edges, g.entities, 60, 5, "Supplier"))
+    return _page(graph.page(g.edges, g.entities, 60, 5, "Supplier"), g)
 
 
 @query(f"WITH {GRAPH}, p AS ({_PAGE.format(where='', limit=100, skip=0)}) SELECT src_id AS id, source_name AS name, source_type AS type FROM p UNION SELECT dst_id, target_name, target_type FROM p")
@@ -491,13 +502,13 @@ def typed_alternation(spark, sf_dir):
     return graph.facts(g.edges.where(F.col("predicate").isin("LOCATED_IN", "BASED_IN")), g.entities)
 
 
-@query(f"""WITH RECURSIVE {GRAPH}, few AS (SELECT * FROM both_ways WHERE predicate = 'LOCATED_IN'),
+@query(f"""WITH RECURSIVE {GRAPH}, few AS (SELECT * FROM both_ways),
 walk AS (SELECT e.entity_id AS start_id, e.entity_id AS at_id, 0 AS hops, []::VARCHAR[] AS trail FROM entities e WHERE e.type = 'Region'
   UNION ALL SELECT w.start_id, f.other_id, w.hops + 1, list_append(w.trail, f.src_id || f.predicate || f.dst_id) FROM walk w JOIN few f ON f.entity_id = w.at_id WHERE w.hops < 3 AND NOT list_contains(w.trail, f.src_id || f.predicate || f.dst_id))
 SELECT start_id, at_id AS end_id, hops FROM walk WHERE hops > 0""")
 def var_length_paths(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return graph.paths(g.edges.where("predicate = 'LOCATED_IN'"), g.entities.where("type = 'Region'"), 3)
+    return graph.paths(g.edges, g.entities.where("type = 'Region'"), 3)
 
 
 @query(f"WITH {GRAPH} SELECT DISTINCT type AS name FROM entities UNION SELECT unnest(['Document', 'Chunk', 'ChildChunk', '__Entity__'])")
@@ -522,11 +533,18 @@ def wipe_counts(spark, sf_dir):
     return one.agg(F.count("*").alias("deleted"))
 
 
-@query()
+#: Flat JSON of ASCII in the form that Python writes: such values are shown as they are.
+_FLAT = r'^[{]("[^"\\\\\x00-\x1F\x7F-\uFFFF]*": (-?(0|[1-9][0-9]*)|true|false|null|"[^"\\\\\x00-\x1F\x7F-\uFFFF]*")(, (?=")|(?=[}])))*[}]$'
+
+
+@query("SELECT event_id, concat('event: ', event_id, CASE WHEN props IS NULL OR props = '' THEN '' ELSE chr(10) || 'props: ' || props END) AS text FROM events")
 def records_to_text(spark, sf_dir):
-    """Nested records as text (events' props): Python's formatting of nested JSON has no SQL form."""
+    """Nested records as text (events' props): only values that are not yet in the form of the text pass through Python."""
     @F.pandas_udf(T.StringType())
     def shown(ids: pd.Series, props: pd.Series) -> pd.Series:
         return pd.Series([record_text({"event": i, "props": json.loads(p) if p else None}) for i, p in zip(ids, props, strict=True)])
 
-    return read(spark, sf_dir, "events").select("event_id", shown("event_id", "props").alias("text"))
+    events = read(spark, sf_dir, "events").select("event_id", "props")
+    flat = F.coalesce(F.col("props").rlike(_FLAT), F.lit(True))
+    lines = F.concat_ws("\n", F.concat(F.lit("event: "), "event_id"), F.concat(F.lit("props: "), "props"))
+    return events.where(flat).select("event_id", lines.alias("text")).unionAll(events.where(~flat).select("event_id", shown("event_id", "props").alias("text")))
