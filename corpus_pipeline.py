@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, vocabulary("byte_bpe_50k.json"), with_ids=True).drop("decoded")
+    return encode_documents(docs, vocabulary("byte_bpe_50k.json"), with_ids=True, with_decoded=False)
 
 
 STAGES = [

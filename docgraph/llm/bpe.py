@@ -31,8 +31,8 @@ from .common import docs_only, small_batches
 
 #: Fixed value: the pre-token pattern of byte-level vocabularies.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Entries that a worker caches before it starts anew.
-CACHE = 500_000
+#: Entries that a worker caches before it starts anew: words after a blank, and other pre-tokens.
+CACHE, PIECES = 500_000, 150_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -86,15 +86,16 @@ class ByteBPE:
                 start = i
         ids += [str(t.id) for t in tokenize(raw[start:].decode("latin-1").translate(self._symbol))]
         got = ",".join(ids)
-        if len(piece) <= 48:
-            if len(self._pieces) >= CACHE:
-                self._pieces.clear()
-            self._pieces[piece] = got
+        if len(piece) <= 48:  # a pre-token with its blank is a unit as well
+            cache, key, most = (self._units, piece[1:], CACHE) if piece[0] == " " and not (piece[1:] or " ")[0].isspace() else (self._pieces, piece, PIECES)
+            if len(cache) >= most:
+                cache.clear()
+            cache[key] = got
         return got
 
     def _unit(self, unit: str) -> str:
-        known = self._pieces
-        return ",".join([known.get(p) or self._piece(p) for p in self._pre.findall(unit)])
+        pieces, units = self._pieces, self._units
+        return ",".join([(units.get(p[1:]) if p[0] == " " else pieces.get(p)) or self._piece(p) for p in self._pre.findall(unit)])
 
     def _part(self, text: str) -> list[str]:
         """Units from one blank after a word to the next; those that end in white space go on with the next."""
@@ -165,22 +166,30 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; with ``with_ids`` also ids and decoded."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_decoded: bool | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; with ``with_ids`` also ids, and decoded unless ``with_decoded`` is false."""
+    with_decoded = with_ids if with_decoded is None else with_decoded
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        for batch in small_batches(batches):
-            rows: list[list] = [[] for _ in range(6 if with_ids else 4)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in small_batches(batches, 2 << 20):
+            sizes, digests, texts, flat = [], [], [], []
+            for text in batch.column(1).to_pylist():
                 decimal = bpe.encode_decimal(text)
                 ids = np.fromstring(decimal, np.int64, sep=",") if decimal else np.empty(0, np.int64)
                 decoded = bpe.decode_bytes(ids).decode("utf-8", "replace").encode()
-                got = [doc_id, len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-                for column, value in zip(rows, [*got, ids, decoded.decode()] if with_ids else got, strict=True):
-                    column.append(value)
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=False)], [f.split()[0] for f in schema.split(", ")])
+                sizes.append(len(ids))
+                digests.append((hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                if with_ids:
+                    flat.append(ids.astype(np.int32))
+                if with_decoded:
+                    texts.append(decoded.decode())
+            columns = [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), *(pa.array([d[k] for d in digests], pa.string()) for k in (0, 1))]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(flat))))
+            if with_decoded:
+                columns.append(pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
     return docs_only(docs, id_col, text_col).mapInArrow(run, schema)
