@@ -7,7 +7,8 @@ Distance is one less the Jaccard similarity, a metric; documents link within ``e
    order (rare shingles first, then by hash), two linked sets of n and m shingles share at least
    need = 1 + min(n, m) // 16 of their first n - ceil(3n/4) + need shingles each, so a point is replicated to
    these pivots' regions and no other. Regions of up to ``PAIRS`` points propose their pairs, larger ones a
-   star; pairs whose sizes or ranks rule a link out, or that meet in too few regions, go.
+   star (of which a batch sends one point, where the counters show that the region is crowded); pairs whose
+   sizes or ranks rule a link out, or that meet in too few regions, go.
 3. What is left falls into blocks (connected candidates), none linked with another. In a block, documents
    become pivots: distances to them make Voronoi regions, a point is replicated to another region if the
    triangle inequality allows a link (its distance there is within 2 eps of its own), and regions are
@@ -50,6 +51,8 @@ LIMIT, LIMIT_BYTES, PIVOTS = 512, 64 << 20, 8
 #: Bits that name a counter, at least and at most: the table of counters takes 2**24 bytes where it is used.
 COUNTERS = (16, 24)
 SLICES = 16
+#: The rank of a point that stands for others of a crowded region.
+STAR = 0xFFFF_FFFF
 #: Distances are at least 1 / (n + m) apart where they differ: this covers rounding.
 SLACK = 1e-9
 
@@ -191,8 +194,8 @@ def components(edges: DataFrame) -> DataFrame:
             return out
 
 
-def counted(tallies: DataFrame, bits: int) -> np.ndarray:
-    """The counters' totals by powers of two, one byte each; ``tallies`` has (slice, blob) rows of compressed counts."""
+def counted(tallies: DataFrame, bits: int) -> tuple[np.ndarray, float]:
+    """The counters' totals by powers of two, one byte each, and their mean; ``tallies`` has (slice, blob) rows of compressed counts."""
     each = (1 << bits) // SLICES
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,12 +205,13 @@ def counted(tallies: DataFrame, bits: int) -> np.ndarray:
                 part = np.frombuffer(pa.decompress(blob, 4 * each, "zstd", asbytes=True), "<u4")
                 total[k] = total[k] + part if k in total else part.astype(np.int64)
         for k, t in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.frexp(t.astype(np.float64))[1].astype(np.uint8).tobytes()], pa.binary())], ["slice", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.frexp(t.astype(np.float64))[1].astype(np.uint8).tobytes()], pa.binary()), pa.array([int(t.sum())])], ["slice", "blob", "total"])
 
-    out = np.zeros(1 << bits, np.uint8)
-    for row in tallies.repartition(SLICES, "slice").mapInArrow(add, "slice int, blob binary").collect():  # a byte a counter
+    out, total = np.zeros(1 << bits, np.uint8), 0
+    for row in tallies.repartition(SLICES, "slice").mapInArrow(add, "slice int, blob binary, total long").collect():  # a byte a counter
         out[row["slice"] * each : (row["slice"] + 1) * each] = np.frombuffer(row["blob"], np.uint8)
-    return out
+        total += row["total"]
+    return out, total / len(out)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +242,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first_pass = written(d.mapInArrow(points, "doc_id long, n_shingles long, key long, slice int, blob binary"), "points")
     point = first_pass.where("slice IS NULL").select("doc_id", "n_shingles", "key")
-    often = counted(first_pass.where("slice IS NOT NULL").select("slice", "blob"), bits)
+    often, mean = counted(first_pass.where("slice IS NOT NULL").select("slice", "blob"), bits)
+    crowded = int(np.frexp(max(2 * PAIRS, 8 * mean))[1]) + 1
 
     def first_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()  # names of this task's points: copies are sent once, or again after so many others
@@ -256,6 +261,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     part.append(v)
             if parts[0]:
                 value, key, size, rank = map(np.concatenate, parts)
+                # A region that is crowded everywhere is a star already here: one of the batch's points goes there for all.
+                hot = np.flatnonzero(often[(value >> shift).astype(np.int64)] >= crowded)
+                hot = hot[np.argsort(value[hot], kind="stable")]
+                again = np.concatenate([[False], value[hot][1:] == value[hot][:-1]]) if len(hot) else np.empty(0, bool)
+                if again.any():
+                    first = hot[~again][np.cumsum(~again) - 1]
+                    a, b = np.minimum(key[first], key[hot])[again], np.maximum(key[first], key[hot])[again]
+                    none = np.zeros(len(a), "i4")
+                    yield pack((n + a % n).astype(np.int32), [a, b, none, none])
+                    rank[first[again]] = STAR
+                    keep = np.ones(len(value), bool)
+                    keep[hot[again]] = False
+                    value, key, size, rank = value[keep], key[keep], size[keep], rank[keep]
                 yield pack((value % np.uint64(n)).astype(np.int32), [value, key.astype("i8"), size.astype("u4"), rank.astype("u4")])
 
     def met(a: np.ndarray, b: np.ndarray, least: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
@@ -266,6 +284,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return [a[first], b[first], np.minimum.reduceat(least, first), np.add.reduceat(times, first, dtype=times.dtype)]
 
     def propose(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() >= n:  # edges of stars
+            columns = met(*unpack(table["blob"].to_pylist(), ["i8", "i8", "i4", "i4"]))
+            return pa.Table.from_batches([pack((columns[0] % n).astype(np.int32), columns)])
         value, key, size, rank = unpack(table["blob"].to_pylist(), ["u8", "i8", "u4", "u4"])
         order = np.lexsort([key, value])
         value, key, size, rank = value[order], key[order], size[order].astype(np.int64), rank[order].astype(np.int64)
@@ -279,9 +300,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for column, v in zip(found, met(a, b, least.astype("i4"), times.astype("i4")), strict=True):
                 column.append(v)
 
-        for c in np.unique(count[count > 1]):  # all regions of one size at once
-            at = first[count == c]
-            if c <= PAIRS:
+        star = np.maximum.reduceat(rank == STAR, first) if len(first) else np.empty(0, bool)
+        for c, is_star in sorted(set(zip(count[count > 1].tolist(), (star | (count > PAIRS))[count > 1].tolist(), strict=True))):  # all regions of one size at once
+            at = first[(count == c) & ((star | (count > PAIRS)) == is_star)]
+            if not is_star:
                 i, j = np.triu_indices(c, 1)
                 step = max(1, 500_000 // len(i))
                 for k in range(0, len(at), step):

@@ -68,6 +68,7 @@ def test_crowded_regions_lose_no_link(spark, monkeypatch):
     import docgraph.llm.jaccard_join as m
 
     rows = corpus(random.Random(5))
+    rows += [(1000 + i, f"one line that very many of the documents hold {i % 40} {i}") for i in range(200)]
     monkeypatch.setattr(m, "PAIRS", 4)
     assert run(spark, rows) == brute(rows)
 
