@@ -34,7 +34,7 @@ from .bpe import byte_symbols
 from .common import docs_only, n_tasks, small_batches
 
 #: Words of one generation of a worker's cache.
-CACHE = 400_000
+CACHE = 250_000
 SCHEMA = "doc_id long, n_tokens long, part int, start_in_part long, tokens array<int>"
 #: Row groups of 16 MB keep a writer's buffer and a selective read small; format v2 falls back from dictionary to delta encoding.
 PARQUET = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.page.size": 256 << 10, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20}
@@ -71,6 +71,7 @@ class WordEncoder:
         self.full.no_padding()
         with open(path, encoding="utf-8") as f:
             self.by_words = by_words(json.load(f))
+        self.model = self.full.model
         self.symbol = {b: c for c, b in byte_symbols().items()}
         self.code = "H" if self.full.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.type = np.uint16 if self.full.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
@@ -79,22 +80,26 @@ class WordEncoder:
         self.older: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
-        got = self.older.get(word)
-        if got is None:
-            if PLAIN(word) and "<|" not in word:
-                tokenize, pieces = self.full.model.tokenize, PIECES.findall(word.lower())
-                if not word.isascii():
-                    pieces = [p if p.isascii() else p.encode().decode("latin-1").translate(self.symbol) for p in pieces]
-                ids = [t.id for p in pieces for t in tokenize(p)]
-            else:
-                ids = self.full.encode(word, add_special_tokens=False).ids
-            got = array(self.code, ids).tobytes()
+        got = self.older.get(word) or self._ids(word)
         if len(word) <= 48:
             if len(self.known) >= CACHE:
                 self.known, self.older = {}, self.known
             self.known[word] = got
         return got
 
+    def _ids(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._piece(word.lower())
+        if PLAIN(word) and "<|" not in word:  # a piece of a word is a word itself, often one that is known
+            known, older, piece = self.known.get, self.older.get, self._piece
+            return b"".join([known(p) or older(p) or piece(p) for p in PIECES.findall(word.lower())])
+        return array(self.code, self.full.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.symbol)
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
     def encode(self, text: bytes) -> np.ndarray:
         if not self.by_words:
             return np.array(self.full.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.type)
