@@ -34,12 +34,13 @@ from .bpe import byte_symbols
 from .common import docs_only, n_tasks, small_batches
 
 #: Words of one generation of a worker's cache.
-CACHE = 250_000
+CACHE = 300_000
 SCHEMA = "doc_id long, n_tokens long, part int, start_in_part long, tokens array<int>"
 #: Row groups of 16 MB keep a writer's buffer and a selective read small; format v2 falls back from dictionary to delta encoding.
 PARQUET = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.page.size": 256 << 10, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20}
 #: Fixed value: the vocabulary's pre-token pattern, for lower-case words of ASCII and Latin-1 letters.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-z0-9à-öø-ÿß]+")
+ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]{1,48}").fullmatch
 #: The normaliser and the pre-token pattern for which encoding word by word is right.
 NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -76,10 +77,10 @@ class WordEncoder:
         self.code = "H" if self.full.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.type = np.uint16 if self.full.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         # Two generations: words that come again move to the younger, and only the older is dropped.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def word(self, word: str) -> bytes:
+    def word(self, word: bytes) -> bytes:
         got = self.older.get(word) or self._ids(word)
         if len(word) <= 48:
             if len(self.known) >= CACHE:
@@ -87,13 +88,16 @@ class WordEncoder:
             self.known[word] = got
         return got
 
-    def _ids(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            return self._piece(word.lower())
-        if PLAIN(word) and "<|" not in word:  # a piece of a word is a word itself, often one that is known
+    def _ids(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone
+            return self._piece(word.lower().decode())
+        text = word.decode("utf-8", "replace")
+        if PLAIN(text) and "<|" not in text:  # a piece of a word is a word itself, often one that is known
             known, older, piece = self.known.get, self.older.get, self._piece
-            return b"".join([known(p) or older(p) or piece(p) for p in PIECES.findall(word.lower())])
-        return array(self.code, self.full.encode(word, add_special_tokens=False).ids).tobytes()
+            if word.isascii():
+                return b"".join([known(p) or older(p) or piece(p.decode()) for p in ASCII_PIECES(word.lower())])
+            return b"".join([piece(p) for p in PIECES.findall(text.lower())])
+        return array(self.code, self.full.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
@@ -103,17 +107,14 @@ class WordEncoder:
     def encode(self, text: bytes) -> np.ndarray:
         if not self.by_words:
             return np.array(self.full.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.type)
-        words = text.translate(BLANKS).decode("utf-8", "replace").split(" ")
+        words = text.split()
         got = list(map(self.known.get, words))
         if None in got:
             word = self.word
-            got = [g if g is not None else word(w) if w else b"" for g, w in zip(got, words, strict=True)]
+            got = [word(w) if g is None else g for g, w in zip(got, words, strict=True)]
         return np.frombuffer(b"".join(got), self.type)
 
 
-BLANKS = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
-
-
 @lru_cache(maxsize=2)
 def load(path: str) -> WordEncoder:
     return WordEncoder(path)
