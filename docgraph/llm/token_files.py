@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,14 +106,26 @@ class WordEncoder:
         return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def encode(self, text: bytes) -> np.ndarray:
+        return self.encode_many(pa.array([text.decode("utf-8", "replace")], pa.string()))[0]
+
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts one after another, how many each has): a batch's distinct words are looked up once."""
         if not self.by_words:
-            return np.array(self.full.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.type)
-        words = text.split()
-        got = list(map(self.known.get, words))
-        if None in got:
-            word = self.word
-            got = [word(w) if g is None else g for g, w in zip(got, words, strict=True)]
-        return np.frombuffer(b"".join(got), self.type)
+            got = [e.ids for e in self.full.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for x in got for i in x], self.type), np.array([len(x) for x in got], np.int64)
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().cast(pa.large_binary()).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        got = list(map(self.known.get, distinct))
+        got = [g if g is not None else self.word(w) if w else b"" for g, w in zip(got, distinct, strict=True)]
+        flat = np.frombuffer(b"".join(got), self.type)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // flat.itemsize
+        of = words.indices.to_numpy()
+        n = size[of]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        shift = (np.cumsum(size) - size)[of] - ends[:-1]
+        cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(shift.astype(np.int32), n)], np.diff(ends[cuts])  # a batch is small
 
 
 @lru_cache(maxsize=2)
@@ -123,13 +136,15 @@ def load(path: str) -> WordEncoder:
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at, part = load(vocabulary), 0, TaskContext.get().partitionId()
-        for batch in small_batches(batches, 2 << 20):
-            ids = [np.append(encoder.encode(t or b""), encoder.type(end_id)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            n = np.array([len(x) for x in ids], np.int64)
+        for batch in small_batches(batches, 8 << 20):
+            ids, n = encoder.encode_many(batch.column(1))
+            flat = np.full(len(ids) + len(n), end_id, np.int32)
+            flat[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+            n = n + 1
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            tokens = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32)))
+            tokens = pa.ListArray.from_arrays(offsets, pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), tokens], ["doc_id", "n_tokens", "part", "start_in_part", "tokens"])
 
     d = docs_only(docs, id_col, text_col).withColumn("at", F.xxhash64("text"))
