@@ -174,7 +174,7 @@ class Engine:
         self.store.write_job(row.coalesce(1))
 
     def status(self, job_id: str) -> dict:
-        """A job's state; one of another process that neither finished nor failed was interrupted if that process is gone."""
+        """A job's last written state: one whose process ended in between stays pending or running."""
         if job_id in self._jobs:
             return self._jobs[job_id]
         row = self.store.table("jobs").where(F.col("job_id") == F.lit(job_id)).first()
