@@ -1,4 +1,4 @@
-"""python -m docgraph.cli [--root DIR] setup | <file> [--dry-run] [--no-embed] | backfill | stats | reset | search [--passages] <question> | chat | serve"""
+"""python -m docgraph.cli [--root DIR] setup | <file> [--dry-run] [--no-embed] | backfill | index | stats | reset | search [--passages] <question> | chat | serve"""
 
 from __future__ import annotations
 
@@ -36,6 +36,8 @@ def main(argv: list[str] | None = None, engine: Engine | None = None, ask=input)
                 show(engine.stats())
             case "backfill":
                 show(engine.backfill())
+            case "index":
+                show(engine.index())
             case "reset":
                 if ask("Delete all Documents, Chunks and Entities? [y/N] ").strip().lower() != "y":
                     print("Cancelled.")

@@ -24,8 +24,12 @@ def top_parents(hits: DataFrame, k: int) -> DataFrame:
 
 def passages(children: DataFrame, chunks: DataFrame, documents: DataFrame, query: list[float], k_child: int, k_parent: int) -> DataFrame:
     """chunk_id, text, source, score, matched_children, rank. At most k rows reach the joins, after both limits."""
+    return passages_of(top_children(children, query, k_child), chunks, documents, k_parent)
+
+
+def passages_of(hits: DataFrame, chunks: DataFrame, documents: DataFrame, k_parent: int) -> DataFrame:
+    """As ``passages``, for hits that are found already: a top-k, so small enough to broadcast."""
     parents = chunks.select("chunk_id", "doc_id", "text")
-    hits = top_children(children, query, k_child)
     real = parents.join(F.broadcast(hits), "chunk_id").select("child_id", "chunk_id", "score")
     best = top_parents(real, k_parent)
     rows = parents.join(F.broadcast(best), "chunk_id")

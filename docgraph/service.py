@@ -1,4 +1,4 @@
-"""The engine's surface: ingest, status, setup, backfill, stats, graph, chat, search, reset; and an HTTP adapter."""
+"""The engine's surface: ingest, status, setup, backfill, index, stats, graph, chat, search, reset; and an HTTP adapter."""
 
 from __future__ import annotations
 
@@ -17,10 +17,11 @@ from .config import EngineConfig
 from .errors import DocgraphError, NotFound, RequestError, SourceError, Unavailable
 from .functions.sql import FUNCTIONS, register
 from .operators import chat, chunking, embed, extract, graph, search
+from .operators.vector_index import VectorIndex
 from .providers import Answerer, EchoAnswerer, Embedder, Extractor, HashEmbedder, NeighbourWriter, PatternExtractor, QueryWriter
 from .sources.readers import check_suffix, read_files, read_uploads
 from .shared import release
-from .store import TABLES, GraphStore
+from .store import TABLES, GraphStore, Snapshot
 
 PROMPT = """Use what follows and nothing else. Where a passage and a fact differ, go by the passage.
 
@@ -47,6 +48,7 @@ class Engine:
         self.store = GraphStore(spark, root, self.config.store_partitions)
         self.extractor, self.answerer, self.writer = extractor or PatternExtractor(), answerer or EchoAnswerer(), writer or NeighbourWriter()
         self.embedder = embedder or HashEmbedder(self.config.embedding_dimensions)
+        self.vectors = VectorIndex(self.store, self.embedder.dimensions)
         self._lock = threading.Lock()
         self._jobs: dict[str, dict] = {}
         register(spark)
@@ -208,8 +210,22 @@ class Engine:
         finally:
             self.unstage(pending)
 
+    def index(self, rebuild: bool = False) -> dict:
+        """Index the vectors for ``search``; later calls index what changed since."""
+        done = self.vectors.refresh(rebuild)
+        return {"message": f"{done['indexed']} partition(s) indexed.", **done}
+
     # --- reading ----------------------------------------------------------
 
+    def nearest(self, now: Snapshot, query: list[float], k: int) -> DataFrame:
+        """The k nearest children: from the index where there is one, and from all where its cells hold fewer than k."""
+        near = self.vectors.candidates(now, query)
+        if near is not None:
+            hits = search.top_children(near, query, k).collect()
+            if len(hits) == k:
+                return self.spark.createDataFrame(hits, "child_id string, chunk_id string, score double")
+        return search.top_children(now.table("children"), query, k)
+
     def stats(self) -> dict:
         t = self.store.snapshot().table
         row = graph.stats(*[t(n) for n in ("documents", "chunks", "children", "entities", "edges", "mentions")]).first().asDict()
@@ -233,10 +249,12 @@ class Engine:
         question = _asked(question)
         if k_child is not None and not 1 <= k_child <= 200 or k_parent is not None and not 1 <= k_parent <= 25:
             raise RequestError("k_child is 1 to 200, k_parent 1 to 25")
-        t = self.store.snapshot().table
+        now = self.store.snapshot()
+        t = now.table
         try:
             query = embed.checked(self.embedder, [question])[0]
-            found = search.passages(t("children"), t("chunks"), t("documents"), query, k_child or self.config.search_child_k, k_parent or self.config.search_parent_k).collect()
+            hits = self.nearest(now, query, k_child or self.config.search_child_k)
+            found = search.passages_of(hits, t("chunks"), t("documents"), k_parent or self.config.search_parent_k).collect()
         except Exception as e:
             raise Unavailable(f"Vector search failed ({e})") from e
         if not found:
@@ -281,6 +299,8 @@ def dispatch(engine: Engine, method: str, target: str, body: bytes = b"", filena
                 return 200, engine.setup()
             case "POST", ["backfill"]:
                 return 200, engine.backfill()
+            case "POST", ["index"]:
+                return 200, engine.index(args.get("rebuild") == "true")
             case "GET", ["stats"]:
                 return 200, engine.stats()
             case "GET", ["graph"]:

@@ -211,13 +211,13 @@ class GraphStore:
                     return
         raise Unavailable(f"other commits got in between {attempts} times")
 
-    def vacuum(self, keep: int = 3, older_than: float = 3600.0) -> int:
+    def vacuum(self, keep: int = 3, older_than: float = 3600.0, names: tuple[str, ...] = tuple(TABLES)) -> int:
         """Remove all but the last ``keep`` manifests, and files that none of those names and that are old enough to belong to no running commit."""
         numbers, gone = self._manifests(), 0
         named = {(n, v) for k in numbers[-keep:] for n, ps in self._read(k).tables.items() for v in ps.values()}
         for k in numbers[:-keep]:
             self._delete(f"{self.root}/_manifests/{k:020d}.json")
-        for name in TABLES:
+        for name in names:
             for folder, changed in self._list(f"{self.root}/{name}"):
                 if folder.startswith("v=") and (name, folder[2:]) not in named and changed < (time.time() - older_than) * 1000:
                     self._delete(f"{self.root}/{name}/{folder}")
